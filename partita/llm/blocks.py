@@ -22,6 +22,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -127,9 +128,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
 
 
+def plan_bytes(df: DataFrame) -> int:
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def owners(df: DataFrame, per_owner: int = OWNER_BYTES) -> int:
     """How many owners: by the input's size, and as many as the session's shuffle partitions at least."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = plan_bytes(df)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(least, min(size // per_owner + 1, 1 << 20))
 
@@ -171,7 +176,7 @@ def ask(state: DataFrame, n: int, send: Send, answer: Answer, fold, schema: str)
             for block, reply in answer(owner, sorted(got.pop(owner))):
                 yield pa.RecordBatch.from_pydict({"block": [block], "owner": pa.array([owner], pa.int32()), "data": [reply]})
 
-    def folding(table: pa.Table):
+    def folding(table):
         own, replies = None, {}
         block = table["block"][0].as_py()
         for owner, data in zip(table["owner"].to_pylist(), table["data"], strict=True):
@@ -186,11 +191,12 @@ def ask(state: DataFrame, n: int, send: Send, answer: Answer, fold, schema: str)
     return state.select("block", "owner", "data").unionByName(replies).groupBy("block").applyInArrow(folding, schema)
 
 
-def to_arrow(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}
 
-    return to_arrow_schema(StructType.fromDDL(schema))
+
+def to_arrow(schema: str) -> pa.Schema:
+    """The Arrow form of a flat schema; executors have no session to parse it with."""
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (x.split() for x in schema.split(","))])
 
 
 def rows(schema: str, **columns) -> pa.RecordBatch:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partita.llm import chat, leaks, quality
+from partita.llm import chat, leaks, quality, substrings
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -21,7 +25,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op8_benchmark_decontamination, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op7_substring_dedup, op8_benchmark_decontamination, op10_chat_formatting)}
 
 ORACLE = {
     "op10_chat_formatting": r"""with c as (select conv_id, turn, role, coalesce(text, '') as t from conversations
