@@ -228,6 +228,7 @@ def _requests(state: DataFrame, n: int, hubs: int) -> DataFrame:
         s = _State(data)
         told = [unpack(replies[k]) for k in sorted(replies)]
         at, hub, entry = (np.concatenate([t[j] for t in told]) if told else np.zeros(0, np.int64) for j in range(3))
+        s.hubbed = s.hubbed.copy()
         s.hubbed[entry[entry >= 0]] = 1
         pairs = np.unique(np.stack([at, hub], axis=1), axis=0)
         s.asked_at, s.asked_hub = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])

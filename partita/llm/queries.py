@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partita.llm import chat, leaks, near, quality, substrings
+from partita.llm import chat, leaks, near, personal, quality, substrings
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -29,7 +33,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_minhash_near_dedup, op7_substring_dedup, op8_benchmark_decontamination, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_minhash_near_dedup, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op10_chat_formatting)}
 
 ORACLE = {
     "op10_chat_formatting": r"""with c as (select conv_id, turn, role, coalesce(text, '') as t from conversations
