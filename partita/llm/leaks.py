@@ -108,3 +108,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
             out = out.unionByName(more)
         out = out.groupBy("doc_id").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("items") != "", F.col("items"))))).alias("items"), F.sum("n_items").alias("n_items"), F.min("distance").alias("distance"))
     return out.select("doc_id", "n_items", "items", "distance", (F.col("n_items") == 0).alias("kept"))
+
+
+def stage(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """The rows of docs in which no item occurs, with the columns of docs; a scan for each block of items."""
+    items, block = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("item_id").isNotNull()).orderBy("item_id").toLocalIterator(), []
+
+    def clean(frame, block):
+        def run(batches):
+            matcher = Matcher(block, rate)
+            for batch in batches:
+                yield batch.filter(pa.array([not matcher.find(t) for t in batch["text"].to_pylist()], pa.bool_()))
+
+        return frame.mapInArrow(run, frame.schema)
+
+    for row in items:
+        block.append((row.item_id, normal(row.text)))
+        if len(block) == BLOCK:
+            docs, block = clean(docs, block), []
+    return clean(docs, block) if block else docs

@@ -78,3 +78,8 @@ def judged(docs: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "text", "lang", "source")
     return judged(slim).select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words", "base_failed", "kept")
+
+
+def stage(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with the columns of docs."""
+    return judged(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])

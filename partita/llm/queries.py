@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partita.llm import chat, leaks, near, personal, quality, substrings
+from partita.llm import chat, leaks, near, packing, personal, quality, substrings
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -33,7 +37,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op5_minhash_near_dedup, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op5_minhash_near_dedup, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op10_chat_formatting)}
 
 ORACLE = {
     "op10_chat_formatting": r"""with c as (select conv_id, turn, role, coalesce(text, '') as t from conversations
