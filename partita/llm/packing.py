@@ -128,14 +128,14 @@ def layout(lengths: list[int], size: int = LENGTH, unit: int = UNIT) -> list[lis
 
 
 def encoder(file: str) -> Callable[[str], np.ndarray]:
-    """Ids of a text, white-space separated part by part: this vocabulary drops white space, so no
+    """Ids of a text, part by part between spaces and line feeds: this vocabulary drops those, so no
     id spans two parts, and parts that come back are looked up."""
     from tokenizers import Tokenizer
 
     tok, known = Tokenizer.from_file(file), {}
 
     def encode(text: str) -> np.ndarray:
-        parts = text.split()
+        parts = [p for p in text.replace("\n", " ").split(" ") if p]
         new = [p for p in dict.fromkeys(parts) if p not in known]
         if len(known) + len(new) > WORD_CACHE:
             known.clear()
