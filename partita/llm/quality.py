@@ -15,18 +15,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partita.llm.blocks import checkpointed
+
 GROWTH = 1.05
 LEAST_ROWS = 200
 FLOORS = {"symbols": 0.3, "dup_lines": 0.3, "repeats": 0.3}
 SPACE = r"translate(t, ' \t\n' || chr(11) || chr(12) || '\r', '')"
 
-# lambda variables bind each intermediate array once, so that nothing is evaluated for each element
+# lambda variables bind each intermediate array once, so that nothing is evaluated for each element;
+# windows are compared by 64-bit hashes
 _REPEATS = r"""
-transform(array(w), w -> if(size(w) < 3, 0,
- transform(array(array_sort(transform(sequence(0, size(w) - 3), i -> struct(concat_ws(' ', w[i], w[i + 1], w[i + 2]) as g, i as p)))), s ->
-  transform(array(sort_array(transform(filter(sequence(0, size(s) - 1),
-    k -> (k > 0 and s[greatest(k - 1, 0)].g = s[k].g) or (k < size(s) - 1 and s[least(k + 1, size(s) - 1)].g = s[k].g)), k -> s[k].p))), q ->
-   if(size(q) = 0, 0, aggregate(sequence(0, size(q) - 1), 0, (a, k) -> a + if(k = size(q) - 1, 3, least(3, q[least(k + 1, size(q) - 1)] - q[k])))))[0])[0]))[0]
+if(size(w) < 3, 0,
+ transform(array(sort_array(transform(sequence(0, greatest(size(w) - 3, 0)), i -> struct(xxhash64(w[i], get(w, i + 1), get(w, i + 2)) as g, i as p)))), s ->
+  transform(array(sort_array(filter(transform(s, (x, k) -> if((k > 0 and s[greatest(k - 1, 0)].g = x.g) or (k < size(s) - 1 and s[least(k + 1, size(s) - 1)].g = x.g), x.p, null)), p -> p is not null))), p ->
+   aggregate(p, struct(0 as n, -3 as last), (a, i) -> struct(a.n + least(3, i - a.last) as n, i as last), a -> a.n))[0])[0])
 """
 
 
@@ -40,7 +42,8 @@ def measures(docs: DataFrame) -> DataFrame:
       cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
       transform(array({lines}), l -> cast(size(l) - size(array_distinct(l)) as bigint))[0] as n_dup_lines,
       cast({_REPEATS} as bigint) as n_repeat_words))[0])[0]"""
-    return docs.withColumn("_m", F.expr(body))
+    # a generator keeps Catalyst from repeating the expression for each field that is read
+    return docs.select("*", F.explode(F.array(F.expr(body))).alias("_m"))
 
 
 def rates() -> dict:
@@ -61,9 +64,8 @@ def thresholds(measured: DataFrame) -> DataFrame:
     return hist.select("g.lang", "g.source", "rows", "name", F.greatest(fence, floor).alias("most")).groupBy("lang", "source").pivot("name", list(FLOORS)).agg(F.first("most")).join(hist.groupBy(F.col("g.lang").alias("lang"), F.col("g.source").alias("source")).agg(F.max("rows").alias("rows")), ["lang", "source"])
 
 
-def judged(docs: DataFrame) -> DataFrame:
-    """docs with ``_m``, ``base_failed`` and ``kept``."""
-    measured = measures(docs)
+def judged(measured: DataFrame) -> DataFrame:
+    """Measured documents with ``base_failed`` and ``kept``."""
     fences = thresholds(measured)
     everything = fences.where((F.col("lang") == "*") & (F.col("source") == "*")).select(F.struct(*FLOORS).alias("_all"))
     own = fences.where(F.col("rows") >= LEAST_ROWS).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*FLOORS).alias("_own"))
@@ -76,10 +78,10 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    slim = docs.select("doc_id", "text", "lang", "source")
-    return judged(slim).select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words", "base_failed", "kept")
+    measured = checkpointed(measures(docs.select("doc_id", "text", "lang", "source")).drop("text"))
+    return judged(measured).select("doc_id", "_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.n_dup_lines", "_m.n_repeat_words", "base_failed", "kept")
 
 
 def stage(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with the columns of docs."""
-    return judged(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judged(measures(docs)).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
