@@ -55,7 +55,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
     """(lang, source, symbols, dup_lines, repeats): the sketches' upper fences; lang and source of '*' for all."""
     bucket = lambda x: F.when(x <= 0, F.lit(-1000)).otherwise(F.floor(F.log(x) / F.log(F.lit(GROWTH))).cast("int"))
     long = measured.where(F.col("_m.n_words") > 0).select(F.struct("lang", "source").alias("g"), F.explode(F.create_map(*[y for k, x in rates().items() for y in (F.lit(k), bucket(x))])).alias("name", "b"))
-    counts = long.groupBy("g", "name", "b").agg(F.count("*").alias("n"))
+    counts = checkpointed(long.groupBy("g", "name", "b").agg(F.count("*").alias("n")))  # the merged sketches
     both = counts.unionByName(counts.groupBy("name", "b").agg(F.sum("n").alias("n")).select(F.struct(F.lit("*").alias("lang"), F.lit("*").alias("source")).alias("g"), "name", "b", "n"))
     hist = both.groupBy("g", "name").agg(F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("b", "n"))).alias("h"))
     at = lambda q: F.expr(f"aggregate(h, struct(0L as seen, -1000 as b), (a, x) -> struct(a.seen + x.n, if(a.seen < {q} * rows, x.b, a.b)), a -> if(a.b = -1000, 0D, pow({GROWTH}, a.b + 1)))")
@@ -66,7 +66,7 @@ def thresholds(measured: DataFrame) -> DataFrame:
 
 def judged(measured: DataFrame) -> DataFrame:
     """Measured documents with ``base_failed`` and ``kept``."""
-    fences = thresholds(measured)
+    fences = checkpointed(thresholds(measured))
     everything = fences.where((F.col("lang") == "*") & (F.col("source") == "*")).select(F.struct(*FLOORS).alias("_all"))
     own = fences.where(F.col("rows") >= LEAST_ROWS).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*FLOORS).alias("_own"))
     out = measured.join(own, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").join(F.broadcast(everything), F.lit(True), "left")
