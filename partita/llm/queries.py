@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partita.llm import chat, leaks, near, packing, personal, quality, secrets, substrings
+from partita.llm import chat, leaks, near, packing, personal, quality, scoring, secrets, substrings
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,13 +35,17 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return leaks.matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return chat.report(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_secret_scans, op5_minhash_near_dedup, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_secret_scans, op5_minhash_near_dedup, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op9_lm_scoring, op10_chat_formatting)}
 
 ORACLE = {
     "op10_chat_formatting": r"""with c as (select conv_id, turn, role, coalesce(text, '') as t from conversations
