@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +128,7 @@ def layout(lengths: list[int], size: int = LENGTH, unit: int = UNIT) -> list[lis
     return out
 
 
+@lru_cache(1)  # a Python worker reads the file once, not for each task
 def encoder(file: str) -> Callable[[str], np.ndarray]:
     """Ids of a text, part by part between spaces and line feeds: this vocabulary drops those, so no
     id spans two parts, and parts that come back are looked up."""
@@ -159,8 +161,10 @@ def packed(docs: DataFrame, file: str | None = None, size: int = LENGTH, end: in
     def run(batches):
         import os
 
+        from partita.llm import packing  # the module's own cache, which outlives this closure
+
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, sequence = encoder(file), TaskContext.get().partitionId() << 32
+        encode, sequence = packing.encoder(file), TaskContext.get().partitionId() << 32
         heads, tails = [], []
 
         def flush():
