@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partita.llm import chat, leaks, near, packing, personal, quality, scoring, secrets, substrings
+from partita.llm import chat, leaks, near, packing, personal, quality, scoring, secrets, substrings, suffixes
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
@@ -45,7 +49,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op4_secret_scans, op5_minhash_near_dedup, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op9_lm_scoring, op10_chat_formatting)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_packing, op3_suffix_array_dedup, op4_secret_scans, op5_minhash_near_dedup, op6_pii, op7_substring_dedup, op8_benchmark_decontamination, op9_lm_scoring, op10_chat_formatting)}
 
 ORACLE = {
     "op10_chat_formatting": r"""with c as (select conv_id, turn, role, coalesce(text, '') as t from conversations
