@@ -26,9 +26,11 @@ SPACE = r"translate(t, ' \t\n' || chr(11) || chr(12) || '\r', '')"
 # windows are compared by 64-bit hashes
 _REPEATS = r"""
 if(size(w) < 3, 0,
- transform(array(sort_array(transform(sequence(0, greatest(size(w) - 3, 0)), i -> struct(xxhash64(w[i], get(w, i + 1), get(w, i + 2)) as g, i as p)))), s ->
-  transform(array(sort_array(filter(transform(s, (x, k) -> if((k > 0 and s[greatest(k - 1, 0)].g = x.g) or (k < size(s) - 1 and s[least(k + 1, size(s) - 1)].g = x.g), x.p, null)), p -> p is not null))), p ->
-   aggregate(p, struct(0 as n, -3 as last), (a, i) -> struct(a.n + least(3, i - a.last) as n, i as last), a -> a.n))[0])[0])
+ transform(array(transform(sequence(0, greatest(size(w) - 3, 0)), i -> xxhash64(w[i], get(w, i + 1), get(w, i + 2)))), g ->
+  if(size(array_distinct(g)) = size(g), 0,
+   transform(array(sort_array(arrays_zip(g, sequence(0, size(g) - 1)))), s ->
+    transform(array(sort_array(filter(transform(s, (x, k) -> if(x.g = get(s, k - 1).g or x.g = get(s, k + 1).g, x.`1`, null)), p -> p is not null))), p ->
+     aggregate(p, struct(0 as n, -3 as last), (a, i) -> struct(a.n + least(3, i - a.last) as n, i as last), a -> a.n))[0])[0]))[0])
 """
 
 
