@@ -30,7 +30,7 @@ from partita.llm.words import Words
 
 SHINGLE, SLOTS, ROWS = 5, 97, 3
 BANDS = SLOTS // ROWS
-HUBS = (1, 8, 32)  # hubs of a bucket in the first, second and all later rounds
+HUBS = (2, 32, 256)  # hubs of a bucket in the first, second and all later rounds
 RESULT = "doc_id long, n_shingles long, component_id long, kept boolean"
 _LAST = np.iinfo(np.int64).max
 _FULL = np.iinfo(np.uint64).max
