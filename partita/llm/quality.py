@@ -2,9 +2,13 @@
 
 Measures of each document are counted into logarithmic buckets per language and source.  Such
 histograms merge by adding counts, in any order and with the same result, and their quantiles
-have a bounded relative error.  A document is rejected when its share of symbols, repeated
-lines or repeated words lies far beyond the upper quantiles of its own group; groups with few
-rows take the threshold of all documents.
+have a bounded relative error.  The sketches hold the rows that pass the base rules, and fences
+come from the rows where a measure is not zero: the median times the fourth power of its ratio to
+the lower quartile (the upper quartile plus 1.5 interquartile ranges of a log-normal measure), so
+that junk in up to half of these rows cannot raise them.  A fence may lie under the floor; it may
+rise over it, by half at most, only as more than half of a group's rows have the measure.  The
+floor itself stands where the quartiles show no spread.  Groups with few rows take the threshold
+of all documents.
 
 Null and empty texts have no words and fail the base rules.  Null languages and sources form
 groups of their own.  Repeated rows are judged one by one; extra columns are kept by the stage.
@@ -48,22 +52,29 @@ def measures(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.explode(F.array(F.expr(body))).alias("_m"))
 
 
+def failed():
+    return (F.col("_m.n_words") < 50) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
+
+
 def rates() -> dict:
     n = F.greatest(F.col("_m.n_words"), F.lit(1))
     return {"symbols": F.col("_m.n_symbols") / n, "dup_lines": F.col("_m.n_dup_lines") / n, "repeats": F.col("_m.n_repeat_words") / n}
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """(lang, source, symbols, dup_lines, repeats): the sketches' upper fences; lang and source of '*' for all."""
+    """(lang, source, symbols, dup_lines, repeats): the sketches' fences; lang and source of '*' for all."""
     bucket = lambda x: F.when(x <= 0, F.lit(-1000)).otherwise(F.floor(F.log(x) / F.log(F.lit(GROWTH))).cast("int"))
-    long = measured.where(F.col("_m.n_words") > 0).select(F.struct("lang", "source").alias("g"), F.explode(F.create_map(*[y for k, x in rates().items() for y in (F.lit(k), bucket(x))])).alias("name", "b"))
+    long = measured.where(~failed()).select(F.struct("lang", "source").alias("g"), F.explode(F.create_map(*[y for k, x in rates().items() for y in (F.lit(k), bucket(x))])).alias("name", "b"))
     counts = checkpointed(long.groupBy("g", "name", "b").agg(F.count("*").alias("n")))  # the merged sketches
     both = counts.unionByName(counts.groupBy("name", "b").agg(F.sum("n").alias("n")).select(F.struct(F.lit("*").alias("lang"), F.lit("*").alias("source")).alias("g"), "name", "b", "n"))
     hist = both.groupBy("g", "name").agg(F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("b", "n"))).alias("h"))
-    at = lambda q: F.expr(f"aggregate(h, struct(0L as seen, -1000 as b), (a, x) -> struct(a.seen + x.n, if(a.seen < {q} * rows, x.b, a.b)), a -> if(a.b = -1000, 0D, pow({GROWTH}, a.b + 1)))")
-    fence = at(0.75) + 3 * (at(0.75) - at(0.25))
+    at = lambda q: f"aggregate(tail, struct(0L as seen, -1000 as b), (a, x) -> struct(a.seen + x.n, if(a.seen < {q} * some, x.b, a.b)), a -> a.b)"
+    hist = hist.withColumn("tail", F.expr("filter(h, x -> x.b > -1000)")).withColumn("some", F.expr("aggregate(tail, 0L, (a, x) -> a + x.n)"))
+    hist = hist.withColumn("low", F.expr(at(0.25))).withColumn("mid", F.expr(at(0.5)))
     floor = F.coalesce(*[F.when(F.col("name") == k, F.lit(v)) for k, v in FLOORS.items()])
-    return hist.select("g.lang", "g.source", "rows", "name", F.greatest(fence, floor).alias("most")).groupBy("lang", "source").pivot("name", list(FLOORS)).agg(F.first("most")).join(hist.groupBy(F.col("g.lang").alias("lang"), F.col("g.source").alias("source")).agg(F.max("rows").alias("rows")), ["lang", "source"])
+    bound = floor * (1 + F.greatest(F.col("some") / F.col("rows") - 0.5, F.lit(0.0)))
+    most = F.when(F.col("mid") == F.col("low"), floor).otherwise(F.least(F.pow(F.lit(GROWTH), F.col("mid") + 1 + 4 * (F.col("mid") - F.col("low"))), bound))
+    return hist.select("g.lang", "g.source", "rows", "name", most.alias("most")).groupBy("lang", "source").pivot("name", list(FLOORS)).agg(F.first("most")).join(hist.groupBy(F.col("g.lang").alias("lang"), F.col("g.source").alias("source")).agg(F.max("rows").alias("rows")), ["lang", "source"])
 
 
 def judged(measured: DataFrame) -> DataFrame:
@@ -72,11 +83,10 @@ def judged(measured: DataFrame) -> DataFrame:
     everything = fences.where((F.col("lang") == "*") & (F.col("source") == "*")).select(F.struct(*FLOORS).alias("_all"))
     own = fences.where(F.col("rows") >= LEAST_ROWS).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*FLOORS).alias("_own"))
     out = measured.join(own, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").join(F.broadcast(everything), F.lit(True), "left")
-    base = (F.col("_m.n_words") < 50) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
     fine = F.lit(True)
     for k, x in rates().items():
         fine = fine & F.coalesce(x <= F.coalesce(F.col(f"_own.{k}"), F.col(f"_all.{k}")), F.lit(True))
-    return out.withColumn("base_failed", base).withColumn("kept", ~base & fine).drop("_l", "_s", "_own", "_all")
+    return out.withColumn("base_failed", failed()).withColumn("kept", ~failed() & fine).drop("_l", "_s", "_own", "_all")
 
 
 def report(docs: DataFrame) -> DataFrame:
