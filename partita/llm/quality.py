@@ -39,17 +39,18 @@ if(size(w) < 3, 0,
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """docs with ``_m``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long)."""
+    """docs with ``_m``: n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words (all long)."""
     words = r"filter(split(t, '[ \\x09-\\x0D]+'), x -> x <> '')"
     lines = r"filter(split(t, '\n', -1), x -> x rlike '[^ \\x09-\\x0D]')"
     body = f"""transform(array(coalesce(cast(text as string), '')), t -> transform(array({words}), w -> struct(
       cast(size(w) as bigint) as n_words,
       cast(length({SPACE}) as bigint) as word_chars,
       cast(length(t) - length(translate(t, '#*$%&|<>', '')) as bigint) as n_symbols,
-      transform(array({lines}), l -> cast(size(l) - size(array_distinct(l)) as bigint))[0] as n_dup_lines,
+      transform(array({lines}), l -> struct(cast(size(l) as bigint) as n_lines, cast(size(l) - size(array_distinct(l)) as bigint) as n_dup_lines))[0] as l,
       cast({_REPEATS} as bigint) as n_repeat_words))[0])[0]"""
     # a generator keeps Catalyst from repeating the expression for each field that is read
-    return docs.select("*", F.explode(F.array(F.expr(body))).alias("_m"))
+    found = docs.select("*", F.explode(F.array(F.expr(body))).alias("_m"))
+    return found.withColumn("_m", F.struct("_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.l.n_lines", "_m.l.n_dup_lines", "_m.n_repeat_words"))
 
 
 def failed():
@@ -58,7 +59,7 @@ def failed():
 
 def rates() -> dict:
     n = F.greatest(F.col("_m.n_words"), F.lit(1))
-    return {"symbols": F.col("_m.n_symbols") / n, "dup_lines": F.col("_m.n_dup_lines") / n, "repeats": F.col("_m.n_repeat_words") / n}
+    return {"symbols": F.col("_m.n_symbols") / n, "dup_lines": F.col("_m.n_dup_lines") / F.greatest(F.col("_m.n_lines"), F.lit(1)), "repeats": F.col("_m.n_repeat_words") / n}
 
 
 def thresholds(measured: DataFrame) -> DataFrame:

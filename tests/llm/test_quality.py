@@ -25,3 +25,13 @@ def test_fence_tightens_where_the_group_shows_it(spark):
     usual = [" ".join(words(k, 100)) + " #" * (4 + k % 5) for k in range(220)]
     assert verdicts(spark, [(t, "s") for t in [*usual, " ".join(words(900, 100)) + " #" * 33]])[-1] is False
     assert verdicts(spark, [(t, "s") for t in usual]) == [True] * 220
+
+
+def test_repeated_lines_of_ordinary_length(spark):
+    # 11 of 30 lines repeat a line of seven words; longer lines keep the share of repeated words low
+    def text(k, again):
+        long = [" ".join(words(100 * k + i, 30)) for i in range(18)]
+        short = ["the same seven words on a line"] * 12 if again else [" ".join(words(100 * k + 50 + i, 7)) for i in range(12)]
+        return "\n".join(long + short)
+
+    assert verdicts(spark, [(text(k, k == 3), "s") for k in range(5)]) == [True, True, True, False, True]
