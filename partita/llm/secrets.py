@@ -3,8 +3,9 @@
 Base patterns give spans of kinds assign, access and hex.  The method adds kind entropy: in runs
 of ``WINDOW`` or more key characters a window slides over the run; entering and leaving characters
 change the counts and the sum of c*log2(c) from which the Shannon entropy follows.  A run's span
-goes from the first to the end of the last window that reaches the threshold of the run's
-character class; runs on the allow-list (one kind of letters, digits only, UUIDs, examples) are
+goes from the first to the end of the last window that reaches the threshold of its own character
+class (hex, alphanumeric, other), so a name joined to a key by =, - or _ does not hide it; windows
+of digits only or of one kind of letters keep the threshold of the run's class; runs on the allow-list (one kind of letters, digits only, UUIDs, examples) are
 left out.  Null and empty texts have no spans; repeated rows are scanned one by one.
 """
 
@@ -37,13 +38,20 @@ def _entropy(s: str) -> str:
     """struct<lo, hi>: the first and last index at which a window that reaches the threshold ends, or -1."""
     f = lambda c: f"if({c} <= 1, 0D, {c} * log2({c}))"
     bits = f"if({s} rlike '^[0-9a-fA-F]+$', {HEX_BITS}D, if({s} rlike '^[A-Za-z0-9]+$', {ALNUM_BITS}D, {OTHER_BITS}D))"
+    # the last places of characters that tell a window's class
+    last = {"nonhex": "not (e.i between 48 and 57 or e.i between 65 and 70 or e.i between 97 and 102)", "other": "not (e.i between 48 and 57 or e.i between 65 and 90 or e.i between 97 and 122)", "digit": "e.i between 48 and 57", "upper": "e.i between 65 and 90", "lower": "e.i between 97 and 122"}
+    places = "struct(" + ", ".join(f"if({c}, i, a.p.{k}) as {k}" for k, c in last.items()) + ")"
+    within = lambda k: f"u.p.{k} > i - {WINDOW}"
+    kinds = " + ".join(f"if({within(k)}, 1, 0)" for k in ("digit", "upper", "lower"))
+    most = f"if({kinds} < 2 or {within('other')}, a.most, if({within('nonhex')}, least({ALNUM_BITS}D, a.most), {HEX_BITS}D))"
     step = f"""transform(array(struct(ch[i] as i, if(i < {WINDOW}, -1, ch[greatest(i - {WINDOW}, 0)]) as o)), e -> transform(array(struct(
-        if(e.i = e.o, a.total, a.total + {f('(a.n[e.i] + 1)')} - {f('a.n[e.i]')} + if(e.o < 0, 0D, {f('(a.n[greatest(e.o, 0)] - 1)')} - {f('a.n[greatest(e.o, 0)]')})) as total)), u -> struct(
+        if(e.i = e.o, a.total, a.total + {f('(a.n[e.i] + 1)')} - {f('a.n[e.i]')} + if(e.o < 0, 0D, {f('(a.n[greatest(e.o, 0)] - 1)')} - {f('a.n[greatest(e.o, 0)]')})) as total, {places} as p)), u ->
+        transform(array(i >= {WINDOW - 1} and log2({WINDOW}D) - u.total / {WINDOW}D >= {most}), high -> struct(
         if(e.i = e.o, a.n, transform(a.n, (c, k) -> c + if(k = e.i, 1, 0) - if(k = e.o, 1, 0))) as n, u.total as total,
-        if(a.lo < 0 and i >= {WINDOW - 1} and log2({WINDOW}D) - u.total / {WINDOW}D >= a.most, i, a.lo) as lo,
-        if(i >= {WINDOW - 1} and log2({WINDOW}D) - u.total / {WINDOW}D >= a.most, i, a.hi) as hi, a.most as most))[0])[0]"""
+        if(a.lo < 0 and high, i, a.lo) as lo, if(high, i, a.hi) as hi, a.most as most, u.p as p))[0])[0])[0]"""
+    none = ", ".join(f"-{WINDOW} as {k}" for k in last)
     return f"""transform(array(transform(filter(split({s}, ''), c -> c <> ''), c -> ascii(c))), ch -> aggregate(sequence(0, size(ch) - 1),
-      struct(array_repeat(0, 128) as n, 0D as total, -1 as lo, -1 as hi, {bits} as most), (a, i) -> {step}, a -> struct(a.lo as lo, a.hi as hi)))[0]"""
+      struct(array_repeat(0, 128) as n, 0D as total, -1 as lo, -1 as hi, {bits} as most, struct({none}) as p), (a, i) -> {step}, a -> struct(a.lo as lo, a.hi as hi)))[0]"""
 
 
 def scanned(docs: DataFrame) -> DataFrame:
