@@ -4,7 +4,10 @@ A log of events (conv_id, seq, msg, op, role, payload) is partitioned by convers
 by sequence number; ``open`` begins a message, ``delta`` adds to it, ``edit`` replaces its text
 and ``regen`` empties it for a new attempt.  Partitions are streamed, so only one conversation is
 held at a time.  Null payloads count as empty, null roles as the empty string; equal sequence
-numbers keep the order of msg, op and payload; unknown operations are ignored.
+numbers keep the order of msg, op, payload and role; unknown operations are ignored.
+
+Each row of a finished conversation is a message of its own, numbered by turn (null last), role
+and text, so that tied turns and repeated rows keep their texts apart.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BEGIN, MIDDLE, END = "<s>[INST] ", " [/INST]", "</s>\n"
@@ -50,11 +53,12 @@ def events(conversations: DataFrame, size: int = 64) -> DataFrame:
     """A streamed log for finished turns: each message is opened and then sent in pieces."""
     text = F.coalesce(F.col("text"), F.lit(""))
     pieces = F.expr(f"transform(sequence(0, cast(floor(length(t) / {size}) as int)), i -> substring(t, i * {size} + 1, {size}))")
+    place = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), F.coalesce(F.col("role"), F.lit("")), "t")
     return (
         conversations.withColumn("t", text)
-        .withColumn("_m", F.struct("turn", "role", "t"))
-        .select("conv_id", "turn", "role", F.posexplode(F.concat(F.array(F.lit("")), pieces)).alias("k", "payload"))
-        .select("conv_id", F.col("turn").alias("msg"), "role", F.col("k").alias("seq"), F.when(F.col("k") == 0, "open").otherwise("delta").alias("op"), "payload")
+        .withColumn("msg", F.row_number().over(place).cast("long"))
+        .select("conv_id", "msg", "role", F.posexplode(F.concat(F.array(F.lit("")), pieces)).alias("k", "payload"))
+        .select("conv_id", "msg", "role", F.col("k").alias("seq"), F.when(F.col("k") == 0, "open").otherwise("delta").alias("op"), "payload")
     )
 
 
@@ -85,7 +89,7 @@ def formatted(log: DataFrame) -> DataFrame:
             both = [render([(r, "".join(x)) for r, x in turns]) for _, turns in done]
             yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in done], pa.int64()), pa.array([f for f, _ in both], pa.string()), pa.array([s for _, s in both], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))], ["conv_id", "formatted", "loss"])
 
-    order = ["conv_id", "msg", "seq", "op", "payload"]
+    order = ["conv_id", "msg", "seq", "op", "payload", "role"]
     return log.select("conv_id", "msg", "seq", "op", "role", "payload").repartition("conv_id").sortWithinPartitions(*order).mapInArrow(fold, SCHEMA)
 
 
