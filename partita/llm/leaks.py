@@ -5,9 +5,10 @@ at least must then occur unchanged; an automaton finds all pieces in one pass ov
 Myers' bit-parallel distance verifies the text around each hit.  Texts are compared in lower
 case with runs of white space as one space.
 
-Null and empty texts match nothing; null, empty and very short items (under ``SHORTEST``
-characters) match nothing; equal items count once each.  Items are used in blocks of ``BLOCK``,
-so that what each task holds is bounded; all items are compared with all documents.
+Null and empty texts match nothing; null and empty items match nothing; items of under
+``SHORTEST`` characters match without edits and at word bounds only; equal items count once each.
+Items are used in blocks of ``BLOCK``, so that what each task holds is bounded; all items are
+compared with all documents.
 """
 
 from __future__ import annotations
@@ -50,9 +51,15 @@ def pieces(item: str, budget: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
+def bounded(text: str, begin: int, end: int) -> bool:
+    """Whether no word goes on over either end of text[begin:end]."""
+    inside = lambda at: 0 < at < len(text) and all(c.isalnum() or c == "_" for c in text[at - 1 : at + 1])
+    return not inside(begin) and not inside(end)
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
-        self.items = [(k, t, int(len(t) * rate)) for k, t in items if len(t) >= SHORTEST]
+        self.items = [(k, t, int(len(t) * rate) if len(t) >= SHORTEST else 0) for k, t in items if t]
         at: dict[str, list] = {}
         for i, (_, text, budget) in enumerate(self.items):
             for start, piece in pieces(text, budget):
@@ -73,6 +80,8 @@ class Matcher:
                     continue
                 tried.add((i, begin))
                 _, item, budget = self.items[i]
+                if len(item) < SHORTEST and not bounded(text, begin, begin + len(item)):
+                    continue
                 exact = text.startswith(item, begin) if begin >= 0 else False
                 d = 0 if exact else distance(item, text[max(0, begin - budget) : max(0, begin + len(item) + budget)], budget)
                 if d is not None:
