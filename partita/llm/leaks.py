@@ -90,32 +90,30 @@ class Matcher:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
-    """(doc_id, n_items, items, distance, kept) for every document."""
-    rows, out = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("item_id").isNotNull()).orderBy("item_id").toLocalIterator(), None
-    block: list = []
+    """(doc_id, n_items, items, distance, kept) for every row of docs; each block of items adds to the columns of the last."""
+    items, block = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("item_id").isNotNull()).orderBy("item_id").toLocalIterator(), []
+    out, before = docs.select("doc_id", F.col("text").cast("string")), None
 
-    def searched(items):
+    def searched(frame, block):
         def run(batches):
-            matcher = Matcher(items, rate)
+            matcher = Matcher(block, rate)
             for batch in batches:
-                hits = [matcher.find(t) for t in batch["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), pa.array([",".join(str(k) for k, _ in h) for h in hits]), pa.array([len(h) for h in hits], pa.int64()), pa.array([min((d for _, d in h), default=None) for h in hits], pa.int64())], ["doc_id", "items", "n_items", "distance"])
+                texts, hits = batch["text"].to_pylist(), []
+                old = zip(*(batch[c].to_pylist() for c in ("items", "n_items", "distance")), strict=True) if "items" in batch.schema.names else [("", 0, None)] * len(texts)
+                for text, (line, n, least) in zip(texts, old, strict=True):
+                    found = matcher.find(text)
+                    hits.append((",".join([line] * bool(line) + [str(k) for k, _ in found]), n + len(found), min([d for _, d in found] + [least] * (least is not None), default=None)))
+                columns = [pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].cast(pa.int64()), batch["text"], *columns], ["doc_id", "text", "items", "n_items", "distance"])
 
-        return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, "doc_id long, items string, n_items long, distance long")
+        return frame.mapInArrow(run, "doc_id long, text string, items string, n_items long, distance long")
 
-    frames = []
-    for row in rows:
+    for row in items:
         block.append((row.item_id, normal(row.text)))
         if len(block) == BLOCK:
-            frames.append(searched(block))
-            block = []
-    if block or not frames:
-        frames.append(searched(block))
-    out = frames[0]
-    if len(frames) > 1:  # a row per document and block of items; rows of equal ids are one document here
-        for more in frames[1:]:
-            out = out.unionByName(more)
-        out = out.groupBy("doc_id").agg(F.concat_ws(",", F.array_sort(F.collect_list(F.when(F.col("items") != "", F.col("items"))))).alias("items"), F.sum("n_items").alias("n_items"), F.min("distance").alias("distance"))
+            out, before, block = searched(out, block), True, []
+    if block or not before:
+        out = searched(out, block)
     return out.select("doc_id", "n_items", "items", "distance", (F.col("n_items") == 0).alias("kept"))
 
 
