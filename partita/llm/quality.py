@@ -7,8 +7,9 @@ come from the rows where a measure is not zero: the median times the fourth powe
 the lower quartile (the upper quartile plus 1.5 interquartile ranges of a log-normal measure), so
 that junk in up to half of these rows cannot raise them.  A fence may lie under the floor; it may
 rise over it, by half at most, only as more than half of a group's rows have the measure.  The
-floor itself stands where the quartiles show no spread.  Groups with few rows take the threshold
-of all documents.
+floor itself stands where the quartiles show no spread.  A group's sketch is joined with its
+language's, which counts as ``PRIOR_ROWS`` rows, and the language's likewise with that of all
+documents, so that small groups go over to them smoothly.
 
 Null and empty texts have no words and fail the base rules.  Null languages and sources form
 groups of their own.  Repeated rows are judged one by one; extra columns are kept by the stage.
@@ -16,13 +17,13 @@ groups of their own.  Repeated rows are judged one by one; extra columns are kep
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partita.llm.blocks import checkpointed
 
 GROWTH = 1.05
-LEAST_ROWS = 200
+PRIOR_ROWS = 200
 FLOORS = {"symbols": 0.3, "dup_lines": 0.3, "repeats": 0.3}
 SPACE = r"translate(t, ' \t\n' || chr(11) || chr(12) || '\r', '')"
 
@@ -62,32 +63,37 @@ def rates() -> dict:
     return {"symbols": F.col("_m.n_symbols") / n, "dup_lines": F.col("_m.n_dup_lines") / F.greatest(F.col("_m.n_lines"), F.lit(1)), "repeats": F.col("_m.n_repeat_words") / n}
 
 
+def _joined(prior: str, rows: str) -> Column:
+    """The sketch h with a prior's shares as ``PRIOR_ROWS`` rows; a prior has all buckets of h."""
+    return F.expr(f"transform(array(map_from_entries(h)), m -> transform({prior}, x -> struct(x.b as b, coalesce(element_at(m, x.b), 0L) + {PRIOR_ROWS}D * x.n / {rows} as n)))[0]")
+
+
 def thresholds(measured: DataFrame) -> DataFrame:
-    """(lang, source, symbols, dup_lines, repeats): the sketches' fences; lang and source of '*' for all."""
+    """(lang, source, symbols, dup_lines, repeats): the sketches' fences."""
     bucket = lambda x: F.when(x <= 0, F.lit(-1000)).otherwise(F.floor(F.log(x) / F.log(F.lit(GROWTH))).cast("int"))
-    long = measured.where(~failed()).select(F.struct("lang", "source").alias("g"), F.explode(F.create_map(*[y for k, x in rates().items() for y in (F.lit(k), bucket(x))])).alias("name", "b"))
-    counts = checkpointed(long.groupBy("g", "name", "b").agg(F.count("*").alias("n")))  # the merged sketches
-    both = counts.unionByName(counts.groupBy("name", "b").agg(F.sum("n").alias("n")).select(F.struct(F.lit("*").alias("lang"), F.lit("*").alias("source")).alias("g"), "name", "b", "n"))
-    hist = both.groupBy("g", "name").agg(F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("b", "n"))).alias("h"))
-    at = lambda q: f"aggregate(tail, struct(0L as seen, -1000 as b), (a, x) -> struct(a.seen + x.n, if(a.seen < {q} * some, x.b, a.b)), a -> a.b)"
-    hist = hist.withColumn("tail", F.expr("filter(h, x -> x.b > -1000)")).withColumn("some", F.expr("aggregate(tail, 0L, (a, x) -> a + x.n)"))
+    long = measured.where(~failed()).select("lang", "source", F.explode(F.create_map(*[y for k, x in rates().items() for y in (F.lit(k), bucket(x))])).alias("name", "b"))
+    counts = checkpointed(long.groupBy("lang", "source", "name", "b").agg(F.count("*").alias("n")))  # the merged sketches
+    sketch = lambda *by: counts.groupBy(*by, "name", "b").agg(F.sum("n").alias("n")).groupBy(*by, "name").agg(F.sum("n").alias("rows"), F.array_sort(F.collect_list(F.struct("b", "n"))).alias("h"))
+    everything = F.broadcast(sketch().select("name", F.col("h").alias("_a"), F.col("rows").alias("_n")))
+    langs = sketch("lang").join(everything, "name").select(F.col("name").alias("_k"), F.col("lang").alias("_l"), _joined("_a", "_n").alias("_h"), (F.col("rows") + PRIOR_ROWS).alias("_r"))
+    hist = sketch("lang", "source").join(langs, (F.col("name") == F.col("_k")) & F.col("lang").eqNullSafe(F.col("_l"))).withColumn("h", _joined("_h", "_r"))
+    at = lambda q: f"aggregate(tail, struct(0D as seen, -1000 as b), (a, x) -> struct(a.seen + x.n, if(a.seen < {q}D * some, x.b, a.b)), a -> a.b)"
+    hist = hist.withColumn("tail", F.expr("filter(h, x -> x.b > -1000)")).withColumn("some", F.expr("aggregate(tail, 0D, (a, x) -> a + x.n)"))
     hist = hist.withColumn("low", F.expr(at(0.25))).withColumn("mid", F.expr(at(0.5)))
     floor = F.coalesce(*[F.when(F.col("name") == k, F.lit(v)) for k, v in FLOORS.items()])
-    bound = floor * (1 + F.greatest(F.col("some") / F.col("rows") - 0.5, F.lit(0.0)))
+    bound = floor * (1 + F.greatest(F.col("some") / (F.col("rows") + PRIOR_ROWS) - 0.5, F.lit(0.0)))
     most = F.when(F.col("mid") == F.col("low"), floor).otherwise(F.least(F.pow(F.lit(GROWTH), F.col("mid") + 1 + 4 * (F.col("mid") - F.col("low"))), bound))
-    return hist.select("g.lang", "g.source", "rows", "name", most.alias("most")).groupBy("lang", "source").pivot("name", list(FLOORS)).agg(F.first("most")).join(hist.groupBy(F.col("g.lang").alias("lang"), F.col("g.source").alias("source")).agg(F.max("rows").alias("rows")), ["lang", "source"])
+    return hist.select("lang", "source", "name", most.alias("most")).groupBy("lang", "source").pivot("name", list(FLOORS)).agg(F.first("most"))
 
 
 def judged(measured: DataFrame) -> DataFrame:
     """Measured documents with ``base_failed`` and ``kept``."""
-    fences = checkpointed(thresholds(measured))
-    everything = fences.where((F.col("lang") == "*") & (F.col("source") == "*")).select(F.struct(*FLOORS).alias("_all"))
-    own = fences.where(F.col("rows") >= LEAST_ROWS).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*FLOORS).alias("_own"))
-    out = measured.join(own, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left").join(F.broadcast(everything), F.lit(True), "left")
+    own = checkpointed(thresholds(measured)).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*FLOORS).alias("_own"))
+    out = measured.join(own, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
     fine = F.lit(True)
     for k, x in rates().items():
-        fine = fine & F.coalesce(x <= F.coalesce(F.col(f"_own.{k}"), F.col(f"_all.{k}")), F.lit(True))
-    return out.withColumn("base_failed", failed()).withColumn("kept", ~failed() & fine).drop("_l", "_s", "_own", "_all")
+        fine = fine & F.coalesce(x <= F.col(f"_own.{k}"), F.lit(True))  # groups without a fence have no row that passes the base rules
+    return out.withColumn("base_failed", failed()).withColumn("kept", ~failed() & fine).drop("_l", "_s", "_own")
 
 
 def report(docs: DataFrame) -> DataFrame:

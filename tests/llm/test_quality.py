@@ -9,6 +9,10 @@ def words(k, n):
     return [f"w{k}x{i}" for i in range(n)]
 
 
+def marked(k, n):
+    return " ".join([w + "#" * (i < n) for i, w in enumerate(words(k, 100))])
+
+
 def verdicts(spark, rows):
     docs = spark.createDataFrame([(k, t, "en", s) for k, (t, s) in enumerate(rows)], SCHEMA)
     return [r.kept for r in sorted(quality.report(docs).collect(), key=lambda r: r.doc_id)]
@@ -22,8 +26,8 @@ def test_junk_does_not_raise_its_own_fence(spark):
 
 def test_fence_tightens_where_the_group_shows_it(spark):
     # the group's symbols a word lie near 0.06, so that 0.25 is far out, though under the floor
-    usual = [" ".join(words(k, 100)) + " #" * (4 + k % 5) for k in range(220)]
-    assert verdicts(spark, [(t, "s") for t in [*usual, " ".join(words(900, 100)) + " #" * 33]])[-1] is False
+    usual = [marked(k, 4 + k % 5) for k in range(220)]
+    assert verdicts(spark, [(t, "s") for t in [*usual, marked(900, 25)]])[-1] is False
     assert verdicts(spark, [(t, "s") for t in usual]) == [True] * 220
 
 
@@ -35,3 +39,11 @@ def test_repeated_lines_of_ordinary_length(spark):
         return "\n".join(long + short)
 
     assert verdicts(spark, [(text(k, k == 3), "s") for k in range(5)]) == [True, True, True, False, True]
+
+
+def test_thresholds_change_smoothly_with_a_groups_rows(spark):
+    hot = [(marked(k, [1, 2, 3, 5, 8, 12, 18, 25, 30, 38][k % 10]), "hot") for k in range(600)]
+    usual = [(marked(1000 + k, 4 + k % 5), "s") for k in range(199)]
+    probe = [(marked(2000, 20), "s"), (marked(2001, 20), "small")]
+    at = [verdicts(spark, hot + usual[:n] + probe)[-2:] for n in (198, 199)]
+    assert at == [[False, True], [False, True]]
