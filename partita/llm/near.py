@@ -378,6 +378,11 @@ def groups(docs: DataFrame, percent: int = 75, n_owners: int | None = None) -> D
 
 
 def stage(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One document of each group: rows of docs whose doc_id is its component's smallest."""
+    """One document of each group: the row with the smallest doc_id of its component (null last), with rows told apart by a key where doc_ids are repeated or null."""
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
+        keyed = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+        found = groups(keyed.withColumn("doc_id", F.col("_row")), percent).select(F.col("doc_id").alias("_row"), "component_id")
+        first = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m"))
+        return keyed.join(first.select("m._row"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
     found = groups(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
