@@ -1,5 +1,9 @@
-import pytest
-from pyspark.sql import SparkSession
+import os
+
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # its threads may hang in a process that has forked
+
+import pytest  # noqa: E402
+from pyspark.sql import SparkSession  # noqa: E402
 
 
 @pytest.fixture(scope="session")
