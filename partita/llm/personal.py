@@ -195,9 +195,9 @@ def model() -> tuple:
     for _ in range(50):  # Platt's sigmoid by Newton steps
         p = 1 / (1 + np.exp(-(slope * raw + offset)))
         w = np.maximum(p * (1 - p), 1e-9)
-        a = np.stack([raw, np.ones_like(raw)], axis=1)
-        step = np.linalg.solve((a * w[:, None]).T @ a + 1e-3 * np.eye(2), a.T @ (want - p))
-        slope, offset = slope + step[0], offset + step[1]
+        aa, ab, bb = (w * raw * raw).sum() + 1e-3, (w * raw).sum(), w.sum() + 1e-3
+        u, v = (raw * (want - p)).sum(), (want - p).sum()
+        slope, offset = slope + (bb * u - ab * v) / (aa * bb - ab * ab), offset + (aa * v - ab * u) / (aa * bb - ab * ab)
     p = 1 / (1 + np.exp(-(slope * raw + offset)))
     order = np.argsort(-p)
     precise = np.cumsum(want[order]) / np.arange(1, len(p) + 1)
