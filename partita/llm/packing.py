@@ -15,7 +15,9 @@ count as empty; every document has at least its end id.  Repeated rows are packe
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -29,7 +31,7 @@ from partita.llm.blocks import rows
 
 LENGTH, UNIT, CHUNK, END, ROUNDS = 2048, 16, 16_384, 1, 400
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-WORD_CACHE = 200_000
+WORD_CACHE = 400_000  # pieces of a generation
 
 
 def best_pattern(prices: np.ndarray, size: int) -> tuple[float, np.ndarray]:
@@ -53,6 +55,11 @@ def best_pattern(prices: np.ndarray, size: int) -> tuple[float, np.ndarray]:
     return value[size], pattern
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A matrix product without BLAS, whose threads may hang in a process that has forked."""
+    return np.einsum("ij,jk->ik", a, b)
+
+
 def patterns(count: np.ndarray, size: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as rows, uses): the linear program min sum(uses), patterns.T @ uses >= count."""
     some = np.flatnonzero(count)
@@ -60,7 +67,7 @@ def patterns(count: np.ndarray, size: int, rounds: int = ROUNDS) -> tuple[np.nda
     demand = count[some].astype(float)
     basis = np.diag(np.floor(size / (some + 1.0)))  # columns are patterns of one length each
     inverse = np.diag(1 / np.diag(basis))
-    uses = inverse @ demand
+    uses = (inverse * demand).sum(axis=1)
     for turn in range(rounds):
         prices = np.zeros(size)
         prices[some] = np.maximum(inverse.sum(axis=0), 0)
@@ -68,23 +75,22 @@ def patterns(count: np.ndarray, size: int, rounds: int = ROUNDS) -> tuple[np.nda
         column = pattern[some]
         if worth <= 1 + 1e-7:
             break
-        direction = inverse @ column
+        direction = (inverse * column).sum(axis=1)
         able = direction > 1e-9
         if not able.any():
             break
         ratio = np.where(able, uses / np.where(able, direction, 1), np.inf)
         out = int(np.argmin(ratio))
         basis[:, out] = column
-        if turn % 50 == 49:
-            inverse = np.linalg.inv(basis)
-            uses = np.maximum(inverse @ demand, 0)
-        else:
-            step = ratio[out]
-            uses = np.maximum(uses - step * direction, 0)
-            uses[out] = step
-            row = inverse[out] / direction[out]
-            inverse = inverse - np.outer(direction, row)
-            inverse[out] = row
+        step = ratio[out]
+        uses = np.maximum(uses - step * direction, 0)
+        uses[out] = step
+        row = inverse[out] / direction[out]
+        inverse = inverse - direction[:, None] * row
+        inverse[out] = row
+        if turn % 50 == 49:  # one Newton step takes out what rounding has gathered
+            inverse = 2 * inverse - _times(inverse, _times(basis, inverse))
+            uses = np.maximum((inverse * demand).sum(axis=1), 0)
     full = np.zeros((m, len(count)))
     full[:, some] = basis.T
     return full.astype(np.int64), np.floor(uses + 1e-9).astype(np.int64)
@@ -128,25 +134,49 @@ def layout(lengths: list[int], size: int = LENGTH, unit: int = UNIT) -> list[lis
     return out
 
 
+# Characters whose words the short way below takes apart just as the vocabulary's own rules do: ASCII
+# white space and print, Latin-1 print and Latin Extended-A without the dotted capital I.
+_PLAIN = re.compile(r"[\t-\r -~\u00a1-\u012f\u0131-\u017f]*")
+_LETTERS = r"a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f"
+_NUMBERS = r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r {_LETTERS}{_NUMBERS}]+")
+
+
+def split_pieces(text: str) -> list[str]:
+    """Pieces that the vocabulary encodes on their own: it lower-cases, drops white space and parts
+    letters, single digits and other characters.  Texts with other characters or with its special
+    strings are only parted at spaces and line feeds, and the tokenizer does the rest."""
+    if _PLAIN.fullmatch(text) and "<|" not in text:
+        return _PIECE.findall(text.lower())
+    return [p for p in text.replace("\n", " ").split(" ") if p]
+
+
 @lru_cache(1)  # a Python worker reads the file once, not for each task
 def encoder(file: str) -> Callable[[str], np.ndarray]:
-    """Ids of a text, part by part between spaces and line feeds: this vocabulary drops those, so no
-    id spans two parts, and parts that come back are looked up."""
+    """Ids of a text, piece by piece; pieces that come back are looked up.  The look-up table has two
+    generations of ``WORD_CACHE`` pieces, so that common pieces stay when rare ones go."""
     from tokenizers import Tokenizer
 
-    tok, known = Tokenizer.from_file(file), {}
+    tok, known, older = Tokenizer.from_file(file), {}, {}
 
     def encode(text: str) -> np.ndarray:
-        parts = [p for p in text.replace("\n", " ").split(" ") if p]
-        new = [p for p in dict.fromkeys(parts) if p not in known]
+        nonlocal known, older
+        pieces = split_pieces(text)
+        new = [p for p in set(pieces) if p not in known]
         if len(known) + len(new) > WORD_CACHE:
-            known.clear()
-            new = list(dict.fromkeys(parts))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for p, e in zip(some, tok.encode_batch(some, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([known[p] for p in parts]), dtype="<u4")
+            known, older = {}, known
+            new = list(set(pieces))
+        fresh = []
+        for p in new:
+            if p in older:
+                known[p] = older[p]
+            else:
+                fresh.append(p)
+        for i in range(0, len(fresh), 4096):
+            some = fresh[i : i + 4096]
+            for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                known[p] = array("I", e.ids).tobytes()
+        return np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4")
 
     return encode
 
