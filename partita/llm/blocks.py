@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 OWNER_BYTES = 8 << 20
 _STATE = "block long, owner int, data binary"
 _MESSAGE = "owner int, block long, data binary"
@@ -78,6 +78,22 @@ def unpack_sorted(steps: np.ndarray) -> np.ndarray:
     return np.cumsum(steps, dtype=steps.dtype)
 
 
+def unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, number): an order by (a, b) and the number of each ordered pair among the distinct ones.
+
+    Sorting by a alone is far faster than sorting pairs; b only decides where equal a's are mixed."""
+    order = np.argsort(a)
+    x, y = a[order], b[order]
+    same = x[1:] == x[:-1]
+    if (same & (y[1:] != y[:-1])).any():
+        order = np.lexsort((b, a))
+        x, y = a[order], b[order]
+        same = x[1:] == x[:-1]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = ~same | (y[1:] != y[:-1])
+    return order, np.cumsum(new) - 1
+
+
 def table_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
@@ -85,7 +101,9 @@ def table_bytes(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def bytes_table(data: bytes) -> pa.Table:
+def bytes_table(data: bytes | pa.Table) -> pa.Table:
+    if isinstance(data, pa.Table):  # a block on its first way, which was not packed
+        return data
     return pa.ipc.open_stream(data).read_all()
 
 
@@ -104,27 +122,56 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = BL
             yield pa.Table.from_batches([batch.slice(a, b - a)])
 
 
-def doc_blocks(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """(block, owner = -1, data): the documents' ids and texts, compressed."""
+class Docs:
+    """Documents as the blocks of a first round: what they ask is told where they are read."""
+
+    def __init__(self, docs: DataFrame, size: int = BLOCK_BYTES):
+        self.frame, self.size = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), size
 
-    def cut(batches):
+    def cut(self, batches) -> Iterator[tuple[int, pa.Table]]:
         first = TaskContext.get().partitionId() << 32
-        for k, table in enumerate(chunks(batches, size=size)):
-            yield pa.RecordBatch.from_pydict({"block": [first + k], "owner": pa.array([-1], pa.int32()), "data": [table_bytes(table)]})
+        for k, table in enumerate(chunks(batches, size=self.size)):
+            yield first + k, table
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, _STATE)
+
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the folder that the cluster names."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+    """Cuts lineage with a reliable checkpoint in the folder that the cluster names; the shuffle files
+    behind it go when it is written."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
+    before = spark.conf.get(_DROP, None)
+    spark.conf.set(_DROP, "true")
+    try:
+        return df.select("*").checkpoint()  # a new query, which reads the setting
+    finally:
+        spark.conf.unset(_DROP) if before is None else spark.conf.set(_DROP, before)
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a checkpointed frame that nothing will read again."""
+    spark = df.sparkSession
+    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if file.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that the frame does not have, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return named or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "_checkpoints")
 
 
@@ -136,7 +183,7 @@ def owners(df: DataFrame, per_owner: int = OWNER_BYTES) -> int:
     """How many owners: by the input's size, and as many as the session's shuffle partitions at least."""
     size = plan_bytes(df)
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(size // per_owner + 1, 1 << 20))
+    return max(least, size // per_owner + 1)
 
 
 def owner_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -153,19 +200,32 @@ Send = Callable[[int, bytes], Iterator[tuple[int, bytes]]]
 Answer = Callable[[int, list[tuple[int, bytes]]], Iterator[tuple[int, bytes]]]
 
 
-def ask(state: DataFrame, n: int, send: Send, answer: Answer, fold, schema: str) -> DataFrame:
+def ask(state: DataFrame | Docs, n: int, send: Send, answer: Answer, fold, schema: str) -> DataFrame:
     """One round.
 
     ``send(block, data)`` yields (owner, message); ``answer(owner, messages)`` gets the pairs
     (block, message) of one owner and yields (block, reply); ``fold(block, data, replies)`` gets
-    the replies by owner and yields record batches of ``schema``.
+    the replies by owner and yields record batches of ``schema``.  A block of ``Docs`` is sent as
+    a table and comes packed to ``fold``.
     """
 
+    def messages_of(block, data):
+        told = list(send(block, data))
+        if told:
+            yield _rows([owner for owner, _ in told], [block] * len(told), [m for _, m in told])
+
     def sending(batches):
+        if isinstance(source, Docs):
+            for block, table in source.cut(batches):
+                yield from messages_of(block, table)
+            return
         for batch in batches:
             for block, data in zip(batch["block"].to_pylist(), batch["data"], strict=True):
-                for owner, message in send(block, data.as_py()):
-                    yield _rows([owner], [block], [message])
+                yield from messages_of(block, data.as_py())
+
+    def packing(batches):
+        for block, table in source.cut(batches):
+            yield state_row(block, table_bytes(table))
 
     def answering(batches):
         got: dict[int, list] = {}
@@ -173,8 +233,9 @@ def ask(state: DataFrame, n: int, send: Send, answer: Answer, fold, schema: str)
             for owner, block, data in zip(*(batch[k].to_pylist() for k in ("owner", "block", "data")), strict=True):
                 got.setdefault(owner, []).append((block, data))
         for owner in sorted(got):
-            for block, reply in answer(owner, sorted(got.pop(owner))):
-                yield pa.RecordBatch.from_pydict({"block": [block], "owner": pa.array([owner], pa.int32()), "data": [reply]})
+            told = list(answer(owner, sorted(got.pop(owner))))
+            if told:
+                yield pa.RecordBatch.from_pydict({"block": [block for block, _ in told], "owner": pa.array([owner] * len(told), pa.int32()), "data": [reply for _, reply in told]})
 
     def folding(table):
         own, replies = None, {}
@@ -187,8 +248,15 @@ def ask(state: DataFrame, n: int, send: Send, answer: Answer, fold, schema: str)
         out = list(fold(block, own, replies))
         return pa.Table.from_batches(out) if out else pa.Table.from_pylist([], schema=to_arrow(schema))
 
-    replies = state.mapInArrow(sending, _MESSAGE).repartitionById(n, F.col("owner")).mapInArrow(answering, _STATE)
-    return state.select("block", "owner", "data").unionByName(replies).groupBy("block").applyInArrow(folding, schema)
+    if isinstance(state, Docs):
+        frame, source = state.frame, Docs.__new__(Docs)  # without the frame, which does not travel
+        source.size = state.size
+        own = frame.mapInArrow(packing, _STATE)
+    else:
+        frame, source = state, None
+        own = state.select("block", "owner", "data")
+    replies = frame.mapInArrow(sending, _MESSAGE).repartitionById(n, F.col("owner")).mapInArrow(answering, _STATE)
+    return own.unionByName(replies).groupBy("block").applyInArrow(folding, schema)
 
 
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64()}

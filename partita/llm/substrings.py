@@ -1,13 +1,15 @@
 """Substring dedup of word windows with a count-min prefilter.
 
-Round one: every block adds its windows to a count-min sketch of two rows.  The sketch is dealt
-in slabs by cell, its width follows the input and no task holds all of it; slabs merge what the
-blocks counted and answer which cells were met twice or more.  A sketch never counts too low, so
-no repeated window is lost.  Round two groups exactly, by 128-bit fingerprints, only the windows
-that the sketch estimates as repeated, and answers whether a smaller doc_id has the window.
+Pass one: the partition sketch of a block of documents is a count-min sketch of two rows; as its
+width follows the whole input and few of its counters are not zero, only those are kept, sorted.
+The sketches are merged by addition, in slabs of neighbouring counters, so no task holds a whole
+sketch, and each block learns which of its counters reach two.  A sketch never counts too low, so
+no repeated window is lost.  Pass two groups exactly, by 128-bit fingerprints, only the windows
+that both rows estimate as repeated, and answers whether a smaller doc_id has the window.
 
 Null texts have no words; a null doc_id counts as larger than all others; rows with equal doc_id
-are not smaller than each other, so none removes words of another.
+are not smaller than each other, so none removes words of another.  An empty table gives no rows;
+columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from partita.llm.blocks import STATE, ask, bytes_table, checkpointed, doc_blocks, owner_cuts, owners, pack, pack_sorted, plan_bytes, rows, state_row, unpack, unpack_sorted
+from partita.llm.blocks import STATE, Docs, ask, bytes_table, checkpointed, owner_cuts, owners, pack, pack_sorted, plan_bytes, rows, state_row, table_bytes, unique_pairs, unpack, unpack_sorted
 from partita.llm.words import Words
 
 WINDOW, CELLS_PER_BYTE = 13, 2
@@ -39,85 +41,92 @@ def dedup(docs: DataFrame, window: int = WINDOW, per_owner: int | None = None) -
         return [words.window_hash(at, window, second) >> np.uint64(64 - bits) << np.uint64(64 - bits) for second in (False, True)]
 
     def count(block, data):
-        words = Words(bytes_table(data), lower=False, wide=True)
+        words = Words(bytes_table(data), lower=False)
         found = [np.unique(c, return_counts=True) for c in cells(words, words.windows(window))]
         cuts = [owner_cuts(u, n) for u, _ in found]
-        for k in range(n):
-            if any(c[k] < c[k + 1] for c in cuts):
-                yield k, pack(*(x for (u, m), c in zip(found, cuts, strict=True) for x in (pack_sorted(u[c[k] : c[k + 1]]), m[c[k] : c[k + 1]] > 1)))
+        for k in np.flatnonzero(np.any([np.diff(c) for c in cuts], axis=0)).tolist():
+            yield k, pack(*(x for (u, m), c in zip(found, cuts, strict=True) for x in (pack_sorted(u[c[k] : c[k + 1]]), np.packbits(m[c[k] : c[k + 1]] > 1), np.array([c[k + 1] - c[k]]))))
 
     def merge(owner, messages):
-        told = [unpack(m) for _, m in messages]
-        for row in (0, 2):
-            sent = [unpack_sorted(t[row]) for t in told]
-            unique, back = np.unique(np.concatenate(sent), return_inverse=True)
-            total = np.bincount(back, weights=np.concatenate([1 + t[row + 1].view(np.uint8) for t in told]), minlength=len(unique))
-            ends = np.cumsum([len(s) for s in sent])
-            for t, part in zip(told, np.split(total[back] > 1, ends[:-1]), strict=True):
-                t[row] = np.packbits(part)
-                t[row + 1] = np.array([len(part)])
-        for (block, _), t in zip(messages, told, strict=True):
-            yield block, pack(*t)
+        told, many = [unpack(m) for _, m in messages], []
+        for row in (0, 3):
+            sizes = [int(t[row + 2][0]) for t in told]
+            cell = np.concatenate([unpack_sorted(t[row]) for t in told])
+            twice = np.concatenate([np.unpackbits(t[row + 1], count=m) for t, m in zip(told, sizes, strict=True)])
+            order = np.argsort(cell)
+            ordered = cell[order]
+            heads = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(cell) else np.zeros(0, np.int64)
+            total = np.add.reduceat(1 + twice[order].astype(np.int64), heads) if len(cell) else heads
+            high = np.zeros(len(cell), dtype=bool)
+            high[order] = np.repeat(total > 1, np.diff(heads, append=len(cell)))
+            many.append(np.split(high, np.cumsum(sizes)[:-1]))
+        for (block, _), a, b in zip(messages, *many, strict=True):
+            yield block, pack(np.packbits(a), np.packbits(b), np.array([len(a), len(b)]))
 
     def estimated(block, data, replies):
-        words = Words(bytes_table(data), lower=False, wide=True)
+        words = Words(bytes_table(data), lower=False)
         at = words.windows(window)
-        many = np.ones(len(at), dtype=bool)
+        high = np.ones(len(at), dtype=bool)
         told = [unpack(replies[k]) for k in sorted(replies)]
         for row, c in enumerate(cells(words, at)):
             _, back = np.unique(c, return_inverse=True)
             if len(at):
-                many &= np.concatenate([np.unpackbits(t[2 * row], count=int(t[2 * row + 1][0])) for t in told]).astype(bool)[back]
-        flags = pack(at[many])
-        yield state_row(block, len(flags).to_bytes(8, "little") + flags + data)
+                high &= np.concatenate([np.unpackbits(t[row], count=int(t[2][row])) for t in told]).astype(bool)[back]
+        flags = pack(pack_sorted(at[high].astype(np.uint32)))
+        yield state_row(block, len(flags).to_bytes(8, "little") + flags + (data if isinstance(data, bytes) else table_bytes(data)))
 
     def opened(data):
+        """The block's windows that are estimated as repeated: their order and numbers by fingerprint, the
+        first of each number, documents and each number's smallest document."""
         size = int.from_bytes(data[:8], "little")
         table = bytes_table(data[8 + size :])
-        words, at = Words(table, lower=False, wide=True), unpack(data[8 : 8 + size])[0]
-        both = np.empty(len(at), dtype=[("a", np.uint64), ("b", np.uint64)])
-        both["a"], both["b"] = words.window_hash(at, window), words.window_hash(at, window, True)
-        unique, back = np.unique(both, return_inverse=True)
+        words, at = Words(table, lower=False), unpack_sorted(unpack(data[8 : 8 + size])[0]).astype(np.int64)
+        a, b = words.window_hash(at, window), words.window_hash(at, window, True)
+        order, number = unique_pairs(a, b)
+        heads = np.flatnonzero(np.diff(number, prepend=-1))
         doc = _ids(table)[words.doc[at]]
-        least = np.full(len(unique), _LAST)
-        np.minimum.at(least, back, doc)
-        return table, words, at, unique, back, doc, least
+        least = np.minimum.reduceat(doc[order], heads) if len(at) else doc
+        return table, words, at, (a[order[heads]], b[order[heads]]), order, number, doc, least
 
     def offer(block, data):
-        *_, unique, _, _, least = opened(data)
-        cuts = owner_cuts(unique["a"], n)
+        *_, (a, b), _, _, _, least = opened(data)
+        cuts = owner_cuts(a, n)
         for k in np.flatnonzero(np.diff(cuts)):
             part = slice(cuts[k], cuts[k + 1])
-            yield int(k), pack(pack_sorted(unique["a"][part]), unique["b"][part], least[part])
+            yield int(k), pack(pack_sorted(a[part]), b[part], least[part])
 
     def smallest(owner, messages):
         told = [unpack(m) for _, m in messages]
-        both = np.empty(sum(len(t[0]) for t in told), dtype=[("a", np.uint64), ("b", np.uint64)])
-        both["a"], both["b"] = np.concatenate([unpack_sorted(t[0]) for t in told]), np.concatenate([t[1] for t in told])
-        unique, back = np.unique(both, return_inverse=True)
+        order, number = unique_pairs(np.concatenate([unpack_sorted(t[0]) for t in told]), np.concatenate([t[1] for t in told]))
         mine = np.concatenate([t[2] for t in told])
-        least = np.full(len(unique), _LAST)
-        np.minimum.at(least, back, mine)
-        smaller, at = least[back] < mine, 0
+        least = np.minimum.reduceat(mine[order], np.flatnonzero(np.diff(number, prepend=-1)))
+        smaller, at = np.zeros(len(mine), dtype=bool), 0
+        smaller[order] = least[number] < mine[order]
         for (block, _), t in zip(messages, told, strict=True):
-            yield block, pack(smaller[at : at + len(t[0])])
+            yield block, pack(np.packbits(smaller[at : at + len(t[0])]), np.array([len(t[0])]))
             at += len(t[0])
 
     def removed(block, data, replies):
-        table, words, at, _, back, doc, least = opened(data)
+        table, words, at, _, order, number, doc, least = opened(data)
         cover = np.zeros(len(words.start) + 1, dtype=np.int64)
         if len(at):
-            elsewhere = np.concatenate([unpack(replies[k])[0] for k in sorted(replies)]).astype(bool)
-            hit = at[elsewhere[back] | (least[back] < doc)]
+            elsewhere = np.concatenate([np.unpackbits(bits, count=int(m[0])) for bits, m in (unpack(replies[k]) for k in sorted(replies))]).astype(bool)
+            hit = at[order[elsewhere[number] | (least[number] < doc[order])]]
             np.add.at(cover, hit, 1)
             np.add.at(cover, hit + window, -1)
         gone = np.cumsum(cover[:-1]) > 0
-        raw, out = words.data.tobytes(), []
-        for first, m in zip(words.first.tolist(), words.count.tolist(), strict=True):
-            keep = first + np.flatnonzero(~gone[first : first + m])
-            kept = b" ".join(raw[a:b] for a, b in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True))
-            out.append((m, m - len(keep), hashlib.sha256(kept).hexdigest()))
-        yield rows(RESULT, doc_id=table["doc_id"].to_pylist(), n_words=[x[0] for x in out], n_removed=[x[1] for x in out], kept_sha256=[x[2] for x in out])
-
-    marked = checkpointed(ask(doc_blocks(docs), n, count, merge, estimated, STATE))
+        # the kept words, each with one space behind
+        data, keep = words.data.copy(), np.flatnonzero(~gone)
+        data[words.end] = 32
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        inside[words.start[keep]] = 1
+        inside[words.end[keep] + 1] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        at = np.concatenate([[0], np.cumsum(inside)])[np.append(words.starts, len(data))]
+        kept = data[inside].tobytes()
+        hashes = [hashlib.sha256(kept[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        lost = np.concatenate([[0], np.cumsum(gone)])
+        yield rows(RESULT, doc_id=table["doc_id"].to_pylist(), n_words=words.count, n_removed=lost[words.first + words.count] - lost[words.first], kept_sha256=hashes)
+
+    marked = checkpointed(ask(Docs(docs), n, count, merge, estimated, STATE))
     return ask(marked, n, offer, smallest, removed, RESULT)

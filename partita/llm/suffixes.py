@@ -22,7 +22,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from partita.llm.blocks import STATE, ask, bytes_table, checkpointed, doc_blocks, mix, owner_cuts, owners, pack, pack_sorted, rows, state_row, unpack, unpack_sorted
+from partita.llm.blocks import STATE, ask, bytes_table, checkpointed, Docs, mix, owner_cuts, owners, pack, pack_sorted, rows, state_row, unpack, unpack_sorted
 from partita.llm.words import _BASES, _BYTES, Prefix, joined
 
 WINDOW, GRAM, RUN, SHARD, HOT, BLOCK = 400, 48, 512, 1 << 20, 2000, 2 << 20
@@ -336,5 +336,5 @@ def dedup(docs: DataFrame, window: int = WINDOW, n_owners: int | None = None, sh
             out["kept_sha256"].append(hashlib.sha256(raw[a:b][~gone[a:b]].tobytes()).hexdigest())
         yield rows(RESULT, doc_id=table["doc_id"].to_pylist(), n_bytes=(ends - starts).tolist(), **out)
 
-    state = checkpointed(ask(doc_blocks(docs, BLOCK), n, offer, classed, marked, STATE))
+    state = checkpointed(ask(Docs(docs, BLOCK), n, offer, classed, marked, STATE))
     return ask(state, n, ship, sorted_, removed, RESULT)

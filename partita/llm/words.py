@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 from partita.llm.blocks import mix
 
@@ -12,6 +13,7 @@ _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASES = np.array([0x9E3779B97F4A7C15, 0xD1342543DE82EF95], dtype=np.uint64) | np.uint64(1)
+_SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = [mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(k)) for k in (0x2545F4914F6CDD1D, 0xDA942042E4DD58B5)]
 
 
@@ -19,18 +21,26 @@ def inverse(x: int) -> int:
     return pow(x, -1, 1 << 64)
 
 
+_KEPT = 1 << 22  # the longest powers that are kept between blocks
+
+
 class Powers:
-    """Powers of a base modulo 2**64, kept between blocks."""
+    """Powers of a base modulo 2**64; those of up to ``_KEPT`` steps are kept between blocks."""
 
     def __init__(self, base: int):
         self.base, self.up, self.down = base, np.ones(1, np.uint64), np.ones(1, np.uint64)
 
+    def _made(self, base: int, n: int) -> np.ndarray:
+        steps = np.full(n, base, dtype=np.uint64)
+        steps[0] = 1
+        return np.cumprod(steps, dtype=np.uint64)
+
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            for name, base in (("up", self.base), ("down", inverse(self.base))):
-                steps = np.full(n, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+            up, down = self._made(self.base, n), self._made(inverse(self.base), n)
+            if n > _KEPT:
+                return up, down
+            self.up, self.down = up, down
         return self.up[:n], self.down[:n]
 
 
@@ -55,33 +65,40 @@ class Prefix:
 
 def joined(table: pa.Table, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The block's bytes with a line feed after each document, and where documents begin and end."""
-    texts = [b"" if x is None else x.encode() for x in table[text].to_pylist()]
-    data = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
-    lengths = np.array([len(x) for x in texts], dtype=np.int64)
-    starts = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
-    return data, starts, starts + lengths
+    column = table[text]
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if isinstance(column, pa.ChunkedArray):  # no rows, or more than one array can hold
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
+    lines = pa.compute.binary_join_element_wise(pa.compute.fill_null(column.cast(pa.large_string()), ""), pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+    if not len(lines):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.frombuffer(lines.buffers()[1], dtype=np.int64, count=len(lines) + 1, offset=8 * lines.offset)
+    data = np.frombuffer(lines.buffers()[2], dtype=np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    return data, at[:-1], at[1:] - 1
 
 
 class Words:
     """Words (runs of bytes that are not ASCII white space) of a block, with their documents and hashes."""
 
-    def __init__(self, table: pa.Table, lower: bool, wide: bool = False):
+    def __init__(self, table: pa.Table, lower: bool):
         data, starts, ends = joined(table)
         if lower:
             data = _LOWER[data]
-        self.data, self.n_docs = data, len(starts)
+        self.data, self.starts, self.n_docs = data, starts, len(starts)
         word = ~_SPACE[data]
         edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=0, append=0))
         self.start, self.end = edge[0::2], edge[1::2]
-        self.doc = np.searchsorted(starts, self.start, side="right") - 1
         self.first = np.searchsorted(self.start, starts)  # the first word of each document
-        self.count = np.bincount(self.doc, minlength=self.n_docs).astype(np.int64)
+        self.count = np.diff(self.first, append=len(self.start)).astype(np.int64)
+        self.doc = np.repeat(np.arange(self.n_docs), self.count)
         self.hash = Prefix(_BYTES[0][data], int(_BASES[0])).of(self.start, self.end)
-        self.hash2 = Prefix(_BYTES[1][data], int(_BASES[1])).of(self.start, self.end) if wide else None
 
     def windows(self, k: int) -> np.ndarray:
         """Indices of the words that begin a window of k words of their document."""
         return np.flatnonzero(np.arange(len(self.start)) + k <= (self.first + self.count)[self.doc])
 
     def window_hash(self, at: np.ndarray, k: int, second: bool = False) -> np.ndarray:
-        return Prefix(self.hash2 if second else self.hash, int(_BASES[1 - second])).of(at, at + k)
+        """Hashes of the windows; the second ones are independent of the first, given the words' hashes."""
+        value = mix(self.hash ^ _SECOND) if second else self.hash
+        return Prefix(value, int(_BASES[1 - second])).of(at, at + k)
