@@ -21,13 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.blocks import GOLDEN, STATE, ask, bytes_table, checkpointed, doc_blocks, mix, owner_cuts, owners, pack, pack_sorted, rows, state_row, table_bytes, unpack, unpack_sorted
+from partita.llm.blocks import GOLDEN, STATE, ask, bytes_table, checkpointed, Docs, mix, owner_cuts, owners, pack, pack_sorted, rows, state_row, table_bytes, unpack, unpack_sorted
 from partita.llm.words import Words
 
 FOLDS, HELD, GRID, EM_STEPS, LEAST_UNIFORM = 7, 2, 4, 200, 1e-4
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _END = np.uint64(0x5851F42D4C957F2D)
-_TOTALS = -1  # the block that asks every owner for its totals
 _NONE = -(1 << 20)  # the grid's place of an estimate of zero
 
 
@@ -53,55 +52,61 @@ class _Tokens:
 
 
 def _counted(docs: DataFrame, n: int) -> DataFrame:
-    """State of each block: documents' ids, tokens' documents and counts; totals in block -1."""
-    totals = docs.sparkSession.range(1).select(F.lit(_TOTALS).cast("long").alias("block"), F.lit(-1).alias("owner"), F.lit(b"").alias("data"))
+    """State of each block: documents' ids, tokens' documents and counts, its training tokens and its share
+    of the distinct ones (a word is counted where it is met first)."""
 
     def send(block, data):
-        if block == _TOTALS:
-            yield from ((k, b"") for k in range(n))
-            return
         t = _Tokens(bytes_table(data))
         cuts = [owner_cuts(u, n) for u in t.keys]
-        for k in range(n):
-            if any(c[k] < c[k + 1] for c in cuts):
-                yield k, pack(*(x for u, m, c in zip(t.keys, t.counts, cuts, strict=True) for x in (pack_sorted(u[c[k] : c[k + 1]]), m[c[k] : c[k + 1]])))
+        for k in np.flatnonzero(np.any([np.diff(c) for c in cuts], axis=0)).tolist():
+            yield k, pack(*(x for u, m, c in zip(t.keys, t.counts, cuts, strict=True) for x in (pack_sorted(u[c[k] : c[k + 1]]), m[c[k] : c[k + 1]])))
 
     def answer(owner, messages):
-        got = [unpack(m) for _, m in messages if m]
-        told, distinct, number = [[] for _ in got], 0, 0
+        got = [unpack(m) for _, m in messages]
+        told = [[] for _ in got]
         for row in (0, 2):
             keys = [unpack_sorted(g[row]) for g in got]
-            if not keys:
-                continue
-            unique, back = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.zeros(len(unique), dtype=np.uint64)
-            np.add.at(total, back, np.concatenate([g[row + 1] for g in got]))
-            if row == 0:
-                distinct, number = int((total > 0).sum()), int(total.sum())
+            source = np.repeat(np.arange(len(got)), [len(k) for k in keys])
+            unique, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+            total = np.bincount(back, weights=np.concatenate([g[row + 1] for g in got]), minlength=len(unique)).astype(np.uint64)
             for part, out in zip(np.split(total[back], np.cumsum([len(k) for k in keys])[:-1]), told, strict=True):
                 out.append(part)
-        answers = iter(told)
-        for block, message in messages:
-            yield block, pack(*next(answers)) if message else pack(np.array([distinct, number], dtype=np.int64))
+            if row == 0:
+                share = np.bincount(source[first[total > 0]], minlength=len(got))
+        for (block, _), t, mine in zip(messages, told, share.tolist(), strict=True):
+            yield block, pack(*t, np.array([mine]))
 
     def fold(block, data, replies):
         replies = [unpack(replies[k]) for k in sorted(replies)]
-        if block == _TOTALS:
-            yield state_row(block, pack(sum(r[0] for r in replies)))
-            return
         t = _Tokens(bytes_table(data))
-        words, pairs = (np.concatenate([r[j] for r in replies]) for j in (0, 1))
+        words, pairs = (np.concatenate([r[j] for r in replies]) if replies else np.zeros(0, np.uint64) for j in (0, 1))
         ids = table_bytes(pa.table({"doc_id": pa.array(t.ids, pa.int64())}))
-        yield state_row(block, len(ids).to_bytes(8, "little") + ids + pack(np.bincount(t.doc, minlength=len(t.ids)), words[t.back[0]], pairs[t.back[1]]))
+        totals = np.array([sum(int(r[2][0]) for r in replies), int(t.counts[0].sum())])
+        yield state_row(block, len(ids).to_bytes(8, "little") + ids + pack(np.bincount(t.doc, minlength=len(t.ids)), words[t.back[0]], pairs[t.back[1]], totals))
+
+    return checkpointed(ask(Docs(docs), n, send, answer, fold, STATE))
+
+
+def _totals(state: DataFrame) -> tuple[int, int]:
+    """Distinct training tokens, and all."""
+
+    def told(batches):
+        for batch in batches:
+            found = [_unpacked(d.as_py())[3].tolist() for d in batch["data"]]
+            yield rows("v long, n long", v=[sum(x for x, _ in found)], n=[sum(x for _, x in found)])
+
+    return tuple(x or 0 for x in state.mapInArrow(told, "v long, n long").agg(F.sum("v"), F.sum("n")).first())
+
 
-    return checkpointed(ask(doc_blocks(docs).unionByName(totals), n, send, answer, fold, STATE))
+def _unpacked(data: bytes) -> list[np.ndarray]:
+    return unpack(data[8 + int.from_bytes(data[:8], "little") :])
 
 
 def _opened(data: bytes):
     """(doc ids, tokens' documents, counts of words, of pairs, of contexts)."""
     size = int.from_bytes(data[:8], "little")
     ids = bytes_table(data[8 : 8 + size])["doc_id"].to_pylist()
-    length, words, pairs = unpack(data[8 + size :])
+    length, words, pairs, _ = _unpacked(data)
     doc = np.repeat(np.arange(len(ids)), length)
     context = np.concatenate([words[-1:], words[:-1]]).astype(float)  # the block's last token is an end, as is each document's
     return ids, doc, words.astype(float), pairs.astype(float), context
@@ -135,7 +140,7 @@ def weights(events: np.ndarray) -> dict[int, np.ndarray]:
 
 def scores(docs: DataFrame, n_owners: int | None = None) -> DataFrame:
     state = _counted(docs, n_owners or owners(docs))
-    distinct, number = unpack(bytes(state.where(F.col("block") == _TOTALS).first()["data"]))[0].tolist()
+    distinct, number = _totals(state)
 
     def gather(batches):
         for batch in batches:
@@ -148,8 +153,7 @@ def scores(docs: DataFrame, n_owners: int | None = None) -> DataFrame:
                 found, n = np.unique(cells, axis=0, return_counts=True)
                 yield rows("b long, p long, w long, n long", b=found[:, 0], p=found[:, 1], w=found[:, 2], n=n)
 
-    blocks = state.where(F.col("block") != _TOTALS)
-    seen = blocks.mapInArrow(gather, "b long, p long, w long, n long").groupBy("b", "p", "w").agg(F.sum("n").alias("n")).orderBy("b", "p", "w").collect()
+    seen = state.mapInArrow(gather, "b long, p long, w long, n long").groupBy("b", "p", "w").agg(F.sum("n").alias("n")).orderBy("b", "p", "w").collect()
     mixture = weights(np.array([tuple(r) for r in seen], dtype=np.int64).reshape(-1, 4))
     table = np.stack([mixture.get(b, mixture[-1]) for b in range(66)])
 
@@ -165,4 +169,4 @@ def scores(docs: DataFrame, n_owners: int | None = None) -> DataFrame:
                     base_score=total(np.log10((words + 1) / (number + distinct + 1))), score=total(np.log10(p)),
                 )
 
-    return blocks.mapInArrow(score, RESULT)
+    return state.mapInArrow(score, RESULT)
