@@ -6,15 +6,21 @@ keeps the least (rank, value).  Ranks of one shingle never collide, which lowers
 against independent minima, and a document stops at the first rank that fills its last slot.
 Bands of ``ROWS`` slots give bucket keys.
 
-Documents with equal shingle sets form a class that its smallest doc_id represents.  In each
-bucket a few hubs are compared, on full shingle sets, with all members.  While a bucket has more
-than one component, members outside its largest one become hubs in further rounds, so that every
-pair of a bucket is compared or already connected and none is capped; a large group of near
-copies collapses in one round.  A pair of similarity 0.75 shares a bucket with probability
-1 - (1 - 0.75**3)**32, all but 3 in 10**8.
-
-Null and empty texts have no shingles, are linked with nothing and are kept.  Repeated rows with
-one doc_id get the same component.  A null doc_id counts as the largest number.
+Documents with equal shingle sets form a class, represented by its row with the smallest doc_id.
+In each bucket hubs are compared with the members that are not yet connected with them: first by
+one byte of each slot, which leaves out pairs that share under ``LEAST`` slots (six standard
+deviations under those of a pair at 0.75), then on full shingle sets.  A member that is probably
+linked with a hub waits for that comparison; all others outside the bucket's largest component become hubs, so
+every pair of a bucket is compared or connected and none is capped.  A large group of near copies
+collapses in one round.  A bucket of over ``WIDE`` members that stay unlike is split by each other
+band in turn: a pair at 0.75 that shares one band shares another with probability
+1 - (1 - 0.75**3)**31, as sure as the banding itself, which finds it with 1 - (1 - 0.75**3)**32,
+all but 3 in 10**8.
+
+Null and empty texts have no shingles, are linked with nothing and are kept.  Rows are told apart
+by their place, so rows that share a doc_id are compared like others.  A null doc_id is larger
+than all others and stays null; component_id is null where no row of a component has a doc_id.
+An empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -25,15 +31,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.blocks import GOLDEN, STATE, ask, bytes_table, checkpointed, doc_blocks, mix, owner_of, owners, pack, rows, state_row, unpack
+from partita.llm.blocks import GOLDEN, STATE, Docs, ask, bytes_table, checkpointed, forget, fresh, mix, owner_of, owners, pack, rows, state_row, unique_pairs, unpack
 from partita.llm.words import Words
 
 SHINGLE, SLOTS, ROWS = 5, 97, 3
 BANDS = SLOTS // ROWS
-HUBS = (2, 32, 256)  # hubs of a bucket in the first, second and all later rounds
+LEAST, LIKELY = 47, 72  # shared slots of pairs that are compared at all, and of those that are probably linked
+WIDE, FIRST_HUBS = 1024, 64
 RESULT = "doc_id long, n_shingles long, component_id long, kept boolean"
 _LAST = np.iinfo(np.int64).max
 _FULL = np.iinfo(np.uint64).max
+OPEN, HUB, SPLIT = 0, 1, 2
 
 
 def shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -45,8 +53,11 @@ def shingles(words: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     if len(short):
         ends = words.first[short] + words.count[short]
         value = np.concatenate([value, [words.window_hash(words.first[[s]], int(e - words.first[s]))[0] for s, e in zip(short, ends, strict=True)]]).astype(np.uint64)
-    order = np.lexsort((value, doc))
-    doc, value = doc[order], value[order]
+        order = np.argsort(doc, kind="stable")
+        doc, value = doc[order], value[order]
+    cuts = np.searchsorted(doc, np.arange(words.n_docs + 1)).tolist()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        value[a:b].sort()
     new = np.ones(len(doc), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
     return doc[new], value[new]
@@ -62,7 +73,8 @@ def signatures(doc: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
             break
         cell = doc * SLOTS + (shift + rank * step) % SLOTS
         free = sig[cell] == _FULL  # slots of lower ranks are final
-        np.minimum.at(sig, cell[free], mix(value[free] + GOLDEN * np.uint64(rank + 2)) >> np.uint64(1))
+        salt = np.uint64(int(GOLDEN) * (rank + 2) % (1 << 64))
+        np.minimum.at(sig, cell[free], mix(value[free] + salt) >> np.uint64(1))
         open_ = (sig.reshape(n, SLOTS) == _FULL).any(axis=1)[doc]
         doc, value, shift, step = doc[open_], value[open_], shift[open_], step[open_]
     return sig.reshape(n, SLOTS)
@@ -80,16 +92,13 @@ def _ids(table) -> np.ndarray:
     return np.array([_LAST if x is None else x for x in table["doc_id"].to_pylist()], dtype=np.int64)
 
 
-def _sketched(data: bytes):
-    table = bytes_table(data)
-    words = Words(table, lower=True)
-    doc, value = shingles(words)
-    n = words.n_docs
-    size = np.bincount(doc, minlength=n).astype(np.int64)
-    cuts = np.concatenate([[0], np.cumsum(size)])
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ GOLDEN), dtype=np.uint64)])
-    prints = mix(total[cuts[1:]] - total[cuts[:-1]] + size.astype(np.uint64))
-    return _ids(table), value, size, cuts, prints, bands(signatures(doc, value, n)), size > 0
+def _places(block: int, n: int) -> np.ndarray:
+    """The rows' own keys: scan partition (20 bits), block (26), row (16, as a block's rows take 64 bytes at least)."""
+    return ((block >> 32) << 42 | (block & 0xFFFFFFFF) << 16) + np.arange(n, dtype=np.int64)
+
+
+def _cat(parts: list, kind=np.int64) -> np.ndarray:
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def _parts(sorted_keys: np.ndarray, n: int):
@@ -97,93 +106,165 @@ def _parts(sorted_keys: np.ndarray, n: int):
     return [(int(k), slice(cuts[k], cuts[k + 1])) for k in np.flatnonzero(np.diff(cuts))]
 
 
+# --- classes of equal sets, and the buckets that two or more of them share ------------------
+
+
 def _classes(docs: DataFrame, n: int) -> DataFrame:
-    """State of each block: ids, sizes, representatives; sets and shared keys of candidates."""
-
-    def told(data):
-        ids, value, size, cuts, prints, keys, some = _sketched(data)
-        full = np.flatnonzero(some)
-        fp, back = np.unique(prints[full], return_inverse=True)
-        least = np.full(len(fp), _LAST)
-        np.minimum.at(least, back, ids[full])
-        pairs = np.empty(len(full) * BANDS, dtype=[("k", np.uint64), ("p", np.uint64)])
-        pairs["k"], pairs["p"] = keys[full].reshape(-1), np.repeat(prints[full], BANDS)
-        return ids, value, size, cuts, prints, keys, full, fp, back, least, np.unique(pairs)
+    """State of each block: ids, sizes, representatives; sets, signatures and shared keys of candidates."""
+
+    def told(block, data):
+        table = bytes_table(data)
+        words = Words(table, lower=True)
+        doc, value = shingles(words)
+        ids, size = _ids(table), np.bincount(doc, minlength=words.n_docs).astype(np.int64)
+        cuts = np.concatenate([[0], np.cumsum(size)])
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mix(value ^ GOLDEN), dtype=np.uint64)])
+        prints = mix(total[cuts[1:]] - total[cuts[:-1]] + size.astype(np.uint64))
+        sig = signatures(doc, value, words.n_docs)
+        keys, full, place = bands(sig), np.flatnonzero(size), _places(block, len(ids))
+        # each class of the block: its row of the smallest id, the first such
+        order = np.lexsort((place[full], ids[full], prints[full]))
+        own = full[order]
+        own = own[np.concatenate([[True], prints[own][1:] != prints[own][:-1]])] if len(own) else own
+        by, number = unique_pairs(keys[full].reshape(-1), np.repeat(prints[full], BANDS))
+        heads = by[np.flatnonzero(np.diff(number, prepend=-1))]
+        pairs = keys[full].reshape(-1)[heads], np.repeat(prints[full], BANDS)[heads]
+        return ids, place, value, size, cuts, prints, sig, keys, full, own, pairs
 
     def send(block, data):
-        *_, fp, _, least, pairs = told(data)
-        by_print, by_key = dict(_parts(fp, n)), dict(_parts(pairs["k"], n))
+        ids, place, *_, prints, _, _, _, own, (key, whose) = told(block, data)
+        by_print, by_key = dict(_parts(prints[own], n)), dict(_parts(key, n))
         for k in sorted(by_print.keys() | by_key.keys()):
-            a, b = by_print.get(k, slice(0, 0)), by_key.get(k, slice(0, 0))
-            yield k, pack(fp[a], least[a], pairs["k"][b], pairs["p"][b])
+            a, b = own[by_print.get(k, slice(0, 0))], by_key.get(k, slice(0, 0))
+            yield k, pack(prints[a], ids[a], place[a], key[b], whose[b])
 
     def answer(owner, messages):
         got = [unpack(m) for _, m in messages]
-        unique, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-        least = np.full(len(unique), _LAST)
-        np.minimum.at(least, back, np.concatenate([g[1] for g in got]))
-        pairs = np.empty(sum(len(g[2]) for g in got), dtype=[("k", np.uint64), ("p", np.uint64)])
-        pairs["k"], pairs["p"] = np.concatenate([g[2] for g in got]), np.concatenate([g[3] for g in got])
-        distinct = np.unique(pairs)["k"]
-        many = np.unique(distinct[1:][distinct[1:] == distinct[:-1]])
-        shared = np.isin(pairs["k"], many)
+        prints, ids, place, key, whose = (np.concatenate([g[j] for g in got]) for j in range(5))
+        order = np.lexsort((place, ids, prints))
+        first = np.concatenate([[True], prints[order][1:] != prints[order][:-1]]) if len(order) else np.zeros(0, bool)
+        head = np.empty(len(order), dtype=np.int64)
+        head[order] = order[np.flatnonzero(first)][np.cumsum(first) - 1] if len(order) else order
+        shared = np.zeros(len(key), dtype=bool)
+        if len(key):
+            by, number = unique_pairs(key, whose)
+            distinct = np.flatnonzero(np.diff(number, prepend=-1))
+            named = key[by[distinct]]
+            many = np.zeros(len(named), dtype=bool)
+            many[1:] = named[1:] == named[:-1]
+            many[:-1] |= many[1:]
+            shared[by] = many[number]
         a = b = 0
         for (block, _), g in zip(messages, got, strict=True):
-            yield block, pack(least[back[a : a + len(g[0])]], shared[b : b + len(g[2])])
-            a, b = a + len(g[0]), b + len(g[2])
+            h = head[a : a + len(g[0])]
+            yield block, pack(ids[h], place[h], np.packbits(shared[b : b + len(g[3])]), np.array([len(g[3])]))
+            a, b = a + len(g[0]), b + len(g[3])
 
     def fold(block, data, replies):
-        ids, value, size, cuts, prints, keys, full, fp, back, _, pairs = told(data)
+        ids, place, value, size, cuts, prints, sig, keys, full, own, (key, _) = told(block, data)
         both = [unpack(replies[k]) for k in sorted(replies)]
-        least = np.concatenate([x[0] for x in both]) if both else np.zeros(0, np.int64)
-        shared = pairs["k"][np.concatenate([x[1] for x in both]).astype(bool)] if both else np.zeros(0, np.uint64)
-        rep = ids.copy()
-        rep[full] = least[back]
-        mine = np.isin(keys, shared) & ((rep == ids) & (size > 0))[:, None]
+        rep_id, rep = ids.copy(), place.copy()
+        if len(own):
+            at = np.searchsorted(prints[own], prints[full])
+            rep_id[full], rep[full] = _cat([x[0] for x in both])[at], _cat([x[1] for x in both])[at]
+        shared = np.unique(key[_cat([np.unpackbits(x[2], count=int(x[3][0])) for x in both], np.uint8).astype(bool)])
+        where = np.searchsorted(shared, keys)
+        mine = (shared[np.minimum(where, len(shared) - 1)] == keys if len(shared) else np.zeros(keys.shape, bool)) & ((rep == place) & (size > 0))[:, None]
         cand = np.flatnonzero(mine.any(axis=1))
-        sets = [value[cuts[i] : cuts[i + 1]] for i in cand]
-        picked = [np.unique(keys[i][mine[i]]) for i in cand]
-        cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, np.uint64)
-        width = np.array([len(x) for x in picked], dtype=np.int64)
-        yield state_row(block, pack(ids, size, rep, cand, cat(sets), width, cat(picked), np.zeros(int(width.sum()), np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        owner, band = np.nonzero(mine[cand])
+        sets = _cat([value[cuts[i] : cuts[i + 1]] for i in cand], np.uint64)
+        s = _State.of(ids, size, rep_id, rep, place[cand], ids[cand], size[cand], sets, (sig[cand] & np.uint64(255)).astype(np.uint8).reshape(-1), owner, keys[cand[owner], band], np.uint32(1) << band.astype(np.uint32))
+        yield state_row(block, s.packed())
 
-    return checkpointed(ask(doc_blocks(docs), n, send, answer, fold, STATE))
+    return checkpointed(ask(Docs(docs), n, send, answer, fold, STATE))
 
 
 class _State:
-    """A block's candidates; ``asked_*`` are this round's comparisons and ``link_*`` what was verified."""
+    """A block.  Of all rows: ids, size, rep_id, rep.  Of candidates with open buckets: place, cid, csize,
+    values (sets), sig; of their open buckets: owner, keys, used (bands), hubbed; of this round's
+    comparisons: asked_at, asked_hub, asked_id; of verified links: link_at, link_hub, link_id, and
+    done (pairs of id and place) once their candidate has no open bucket."""
+
+    KEPT = ("ids", "size", "rep_id", "rep", "place", "cid", "csize", "values", "sig", "owner", "keys", "used", "hubbed", "asked_at", "asked_hub", "asked_id", "link_at", "link_hub", "link_id", "done")
 
     def __init__(self, data: bytes):
-        self.ids, self.size, self.rep, self.cand, self.values, self.width, self.keys, self.hubbed, self.asked_at, self.asked_hub, self.link_at, self.link_hub = unpack(data)
-        self.cuts = np.concatenate([[0], np.cumsum(self.size[self.cand])])
-        self.owner = np.repeat(np.arange(len(self.cand)), self.width)
+        for name, a in zip(self.KEPT, unpack(data), strict=True):
+            setattr(self, name, a)
+        self.cuts = np.concatenate([[0], np.cumsum(self.csize)])
 
-    def set_of(self, i: int) -> np.ndarray:
-        return self.values[self.cuts[i] : self.cuts[i + 1]]
+    @classmethod
+    def of(cls, *arrays) -> _State:
+        s, none = cls.__new__(cls), np.zeros(0, np.int64)
+        for name, a in zip(cls.KEPT, [*arrays, np.zeros(len(arrays[-1]), np.uint8), *[none] * 7], strict=True):
+            setattr(s, name, a)
+        return s
 
     def packed(self) -> bytes:
-        return pack(self.ids, self.size, self.rep, self.cand, self.values, self.width, self.keys, self.hubbed, self.asked_at, self.asked_hub, self.link_at, self.link_hub)
-
+        return pack(*(getattr(self, name) for name in self.KEPT))
 
-def _local_components(ids: np.ndarray, links: list[np.ndarray]) -> np.ndarray:
-    """Component numbers of a bucket's members from the links among them (union-find)."""
-    up = {int(i): int(i) for i in ids}
-
-    def root(x):
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    def set_of(self, i: int) -> np.ndarray:
+        return self.values[self.cuts[i] : self.cuts[i + 1]]
 
-    for i, hubs in zip(ids.tolist(), links, strict=True):
-        for h in hubs.tolist():
-            if h in up:
-                a, b = root(i), root(h)
-                up[max(a, b)] = min(a, b)
-    return np.array([root(int(i)) for i in ids], dtype=np.int64)
+    def closed(self, entries: np.ndarray) -> None:
+        """Keeps the open ``entries`` and the candidates that have one or are compared in this round."""
+        self.owner, self.keys, self.used, self.hubbed = (x[entries] for x in (self.owner, self.keys, self.used, self.hubbed))
+        stay = np.zeros(len(self.place), dtype=bool)
+        stay[self.owner] = stay[self.asked_at] = True
+        gone = ~stay[self.link_at]
+        at = self.link_at[gone]
+        self.done = np.concatenate([self.done, np.stack([self.cid[at], self.place[at], self.link_id[gone], self.link_hub[gone]], axis=1).reshape(-1)])
+        to = np.cumsum(stay) - 1
+        self.link_at, self.link_hub, self.link_id = to[self.link_at[~gone]], self.link_hub[~gone], self.link_id[~gone]
+        self.values = _cat([self.set_of(i) for i in np.flatnonzero(stay)], np.uint64)
+        self.sig = self.sig.reshape(-1, SLOTS)[stay].reshape(-1)
+        self.place, self.cid, self.csize = self.place[stay], self.cid[stay], self.csize[stay]
+        self.owner, self.asked_at = to[self.owner], to[self.asked_at]
+
+
+# --- rounds -------------------------------------------------------------------------------
+
+
+def _local_components(place: np.ndarray, at: np.ndarray, hub: np.ndarray) -> np.ndarray:
+    """Component numbers of a bucket's members (by sorted place) from links (member, hub's place), by union-find."""
+    up = np.arange(len(place))
+    where = np.searchsorted(place, hub)
+    inside = (where < len(place)) & (place[np.minimum(where, len(place) - 1)] == hub)
+    for a, b in zip(at[inside].tolist(), where[inside].tolist(), strict=True):
+        while up[a] != a:
+            up[a] = up[up[a]]
+            a = up[a]
+        while up[b] != b:
+            up[b] = up[up[b]]
+            b = up[b]
+        up[max(a, b)] = min(a, b)
+    for a in range(len(up)):
+        up[a] = up[up[a]]
+    return up
+
+
+def _hubs(sig: np.ndarray, free: np.ndarray, waits: np.ndarray):
+    """Members that are free and do not wait, those that agree best with the others of them first: each time
+    the one that shares most slots with what is commonest in each slot."""
+    while len(open_ := np.flatnonzero(free & ~waits)):
+        if len(open_) > 2:
+            part = sig[open_]
+            count = np.zeros((SLOTS, 256), dtype=np.int64)
+            np.add.at(count, (np.arange(SLOTS)[None, :], part), 1)
+            turn = open_[np.argsort(-(part == count.argmax(axis=1)[None, :]).sum(axis=1), kind="stable")]
+        else:
+            turn = open_
+        for h in turn.tolist():
+            if waits[h]:
+                continue
+            before = waits.sum()
+            yield h
+            free = free.copy()
+            free[h] = False
+            if waits.sum() > before + len(open_) // 8:  # many have gone: ask anew what is commonest
+                break
 
 
-def _requests(state: DataFrame, n: int, hubs: int) -> DataFrame:
+def _requests(state: DataFrame, n: int, first: bool) -> DataFrame:
     """Buckets choose hubs; each block learns which of its members to compare with which hubs."""
 
     def send(block, data):
@@ -191,47 +272,81 @@ def _requests(state: DataFrame, n: int, hubs: int) -> DataFrame:
         order = np.argsort(s.keys, kind="stable")
         by = np.argsort(s.link_at, kind="stable")
         at, hub = s.link_at[by], s.link_hub[by]
-        lo, hi = np.searchsorted(at, np.arange(len(s.cand))), np.searchsorted(at, np.arange(len(s.cand)), side="right")
         for k, part in _parts(s.keys[order], n):
             e = order[part]
-            who = s.owner[e]
-            told = [hub[lo[w] : hi[w]] for w in who]
-            yield k, pack(s.keys[e], e, who, s.ids[s.cand[who]], s.hubbed[e], np.array([len(x) for x in told], dtype=np.int64), np.concatenate(told).astype(np.int64))
+            who, mine = np.unique(s.owner[e], return_inverse=True)
+            lo, hi = np.searchsorted(at, who), np.searchsorted(at, who, side="right")
+            yield k, pack(s.keys[e], e, s.hubbed[e], mine, who, s.place[who], s.cid[who], s.csize[who], s.sig.reshape(-1, SLOTS)[who].reshape(-1), hi - lo, _cat([hub[a:b] for a, b in zip(lo, hi, strict=True)]))
 
     def answer(owner, messages):
         got = [unpack(m) for _, m in messages]
-        cat = lambda j: np.concatenate([g[j] for g in got])
-        key, entry, who, ids, hubbed, width, flat = (cat(j) for j in range(7))
-        source = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
-        ends = np.cumsum(width)
-        order = np.lexsort((ids, key))
+        key, entry, hubbed, mine, who, place, cid, size, sig, width, flat = (np.concatenate([g[j] for g in got]) for j in range(11))
+        source, base = np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), np.cumsum([0] + [len(g[4]) for g in got])[:-1]
+        mine, sig, ends = mine + base[source], sig.reshape(-1, SLOTS), np.cumsum(width)
+        order = np.lexsort((place[mine], key))
         edges = np.flatnonzero(np.diff(key[order])) + 1
-        out = {}
+        opened, pairs = [np.zeros(0, np.int64)], []
         for group in np.split(order, edges):
-            if len(group) < 2:
+            m = mine[group]
+            if len(m) < 2:
                 continue
-            comp = _local_components(ids[group], [flat[ends[g] - width[g] : ends[g]] for g in group])
+            links = [flat[ends[x] - width[x] : ends[x]] for x in m]
+            comp = _local_components(place[m], np.repeat(np.arange(len(m)), width[m]), np.concatenate(links))
             names, number = np.unique(comp, return_counts=True)
             if len(names) == 1:
                 continue
-            largest = names[np.argmax(number)]
-            chosen = np.flatnonzero((comp != largest) & (hubbed[group] == 0)) if hubs > 1 or len(group) == 2 else np.flatnonzero(hubbed[group] == 0)
-            for h in chosen[:hubs]:
-                g = group[h]
-                out.setdefault(int(source[g]), []).append((int(who[g]), int(ids[g]), int(entry[g])))
-                for m in group[comp != comp[h]].tolist():
-                    out.setdefault(int(source[m]), []).append((int(who[m]), int(ids[g]), -1))
-        for i, found in sorted(out.items()):
-            yield messages[i][0], pack(*np.array(found, dtype=np.int64).T)
+            code = np.full(len(m), OPEN)
+            free = (comp != names[np.argmax(number)]) & (hubbed[group] == 0)
+            if not first and free.sum() > WIDE:
+                code[:] = SPLIT
+            else:
+                waits, now = np.zeros(len(m), dtype=bool), np.zeros(len(m), dtype=bool)
+                for h in _hubs(sig[m], free, waits):
+                    if now.sum() == FIRST_HUBS and first and len(m) > WIDE:
+                        break
+                    now[h] = True
+                    like = (sig[m] == sig[m[h]]).sum(axis=1)
+                    like[(comp == comp[h]) | (hubbed[group] != 0) | (code == HUB) | (100 * np.minimum(size[m], size[m[h]]) < 75 * np.maximum(size[m], size[m[h]]))] = 0
+                    asks = (like >= LEAST) & ~waits
+                    code[h] = OPEN if (waits & (like >= LEAST)).any() else HUB  # a hub that left out members that wait comes again
+                    if first:
+                        waits |= like >= LIKELY
+                    if asks.any():
+                        asks[h] = True  # the hub's own block gives its set
+                        pairs.append(m[asks] * len(place) + m[h])
+                if not (free & (code != HUB)).any():
+                    continue  # every pair is compared or connected
+            opened.append(group * 4 + code)
+        rows_, both = np.sort(np.concatenate(opened)), np.unique(_cat(pairs))  # by source, as rows and members are
+        x, member, hub = rows_ // 4, both // max(len(place), 1), both % max(len(place), 1)
+        at, by = np.searchsorted(source[x], np.arange(len(got) + 1)), np.searchsorted(member, np.append(base, len(place)))
+        for i, (block, _) in enumerate(messages):
+            a, b = slice(at[i], at[i + 1]), slice(by[i], by[i + 1])
+            if at[i] < at[i + 1] or by[i] < by[i + 1]:
+                yield block, pack(entry[x[a]], rows_[a] % 4, who[member[b]], place[hub[b]], cid[hub[b]])
 
     def fold(block, data, replies):
         s = _State(data)
         told = [unpack(replies[k]) for k in sorted(replies)]
-        at, hub, entry = (np.concatenate([t[j] for t in told]) if told else np.zeros(0, np.int64) for j in range(3))
+        entry, code, at, hub, hub_id = (_cat([t[j] for t in told]) for j in range(5))
+        pairs = np.unique(np.stack([at, hub, hub_id], axis=1), axis=0) if len(at) else np.zeros((0, 3), np.int64)
+        s.asked_at, s.asked_hub, s.asked_id = (np.ascontiguousarray(pairs[:, j]) for j in range(3))
         s.hubbed = s.hubbed.copy()
-        s.hubbed[entry[entry >= 0]] = 1
-        pairs = np.unique(np.stack([at, hub], axis=1), axis=0)
-        s.asked_at, s.asked_hub = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+        s.hubbed[entry[code == HUB]] = 1
+        split = entry[code == SPLIT]
+        if len(split):
+            sig, more = s.sig.reshape(-1, SLOTS), []
+            for j in range(BANDS):
+                e = split[s.used[split] >> np.uint32(j) & np.uint32(1) == 0]
+                part = sig[s.owner[e], j * ROWS : j * ROWS + ROWS].astype(np.uint64)
+                value = sum(part[:, i] << np.uint64(8 * i) for i in range(ROWS)) + np.uint64(j << 8 * ROWS)
+                more.append((s.owner[e], mix(s.keys[e] * GOLDEN + mix(value + GOLDEN)), s.used[e] | np.uint32(1 << j)))
+            keep = np.concatenate([np.sort(entry[code != SPLIT]), np.arange(len(s.keys), len(s.keys) + sum(len(x[0]) for x in more))])
+            s.hubbed = np.concatenate([s.hubbed, np.zeros(sum(len(x[0]) for x in more), np.uint8)])
+            s.owner, s.keys, s.used = (np.concatenate([old, *(x[i] for x in more)]) for i, old in enumerate((s.owner, s.keys, s.used)))
+        else:
+            keep = np.sort(entry)
+        s.closed(keep)
         yield state_row(block, s.packed())
 
     return ask(state, n, send, answer, fold, STATE)
@@ -240,28 +355,27 @@ def _requests(state: DataFrame, n: int, hubs: int) -> DataFrame:
 def _verified(state: DataFrame, n: int, percent: int) -> DataFrame:
     """Hubs' shingle sets go once to each block that asked; links are confirmed on full sets."""
 
-    def place(hub):
+    def where(hub):
         return mix(hub.astype(np.uint64) + GOLDEN)
 
     def send(block, data):
         s = _State(data)
-        mine = s.ids[s.cand[s.asked_at]]
-        own = s.asked_at[mine == s.asked_hub]
-        want = np.unique(s.asked_hub[mine != s.asked_hub])
+        mine = s.place[s.asked_at] == s.asked_hub
+        own, want = s.asked_at[mine], np.unique(s.asked_hub[~mine])
         messages = {}
-        for h, k in zip(want.tolist(), owner_of(place(want), n).tolist(), strict=True):
+        for h, k in zip(want.tolist(), owner_of(where(want), n).tolist(), strict=True):
             messages.setdefault(k, ([], []))[0].append(h)
-        for i, k in zip(own.tolist(), owner_of(place(s.ids[s.cand[own]]), n).tolist(), strict=True):
+        for i, k in zip(own.tolist(), owner_of(where(s.place[own]), n).tolist(), strict=True):
             messages.setdefault(k, ([], []))[1].append(i)
         for k, (asks, gives) in sorted(messages.items()):
             sets = [s.set_of(i) for i in gives]
-            yield k, pack(np.array(asks, dtype=np.int64), s.ids[s.cand[np.array(gives, dtype=np.int64)]], np.array([len(x) for x in sets], dtype=np.int64), np.concatenate(sets) if sets else np.zeros(0, np.uint64))
+            yield k, pack(np.array(asks, dtype=np.int64), s.place[np.array(gives, dtype=np.int64)], np.array([len(x) for x in sets], dtype=np.int64), _cat(sets, np.uint64))
 
     def answer(owner, messages):
         got, known = [unpack(m) for _, m in messages], {}
-        for _, ids, size, values in got:
-            for i, part in zip(ids.tolist(), np.split(values, np.cumsum(size)[:-1]), strict=False):
-                known[i] = part
+        for _, hubs, size, values in got:
+            for h, part in zip(hubs.tolist(), np.split(values, np.cumsum(size)[:-1]), strict=False):
+                known[h] = part
         for (block, _), (asks, *_) in zip(messages, got, strict=True):
             if len(asks):
                 sets = [known[h] for h in asks.tolist()]
@@ -269,44 +383,57 @@ def _verified(state: DataFrame, n: int, percent: int) -> DataFrame:
 
     def fold(block, data, replies):
         s, known = _State(data), {}
+        for i in s.asked_at[s.place[s.asked_at] == s.asked_hub].tolist():
+            known[int(s.place[i])] = s.set_of(i)
         for reply in replies.values():
             asks, size, values = unpack(reply)
             for h, part in zip(asks.tolist(), np.split(values, np.cumsum(size)[:-1]), strict=True):
                 known[h] = part
-        at, hub = [s.link_at], [s.link_hub]
-        for i, h in zip(s.asked_at.tolist(), s.asked_hub.tolist(), strict=True):
-            if s.ids[s.cand[i]] == h:
+        found = []
+        for i, h, hub_id in zip(s.asked_at.tolist(), s.asked_hub.tolist(), s.asked_id.tolist(), strict=True):
+            if s.place[i] == h:
                 continue
             a, b = s.set_of(i), known[h]
             if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
                 continue
-            place_ = np.searchsorted(a, b)
-            common = int((a[np.minimum(place_, len(a) - 1)] == b).sum())
+            at = np.searchsorted(a, b)
+            common = int((a[np.minimum(at, len(a) - 1)] == b).sum())
             if 100 * common >= percent * (len(a) + len(b) - common):
-                at.append(np.array([i])), hub.append(np.array([h]))
-        pairs = np.unique(np.stack([np.concatenate(at), np.concatenate(hub)], axis=1), axis=0).astype(np.int64)
-        s.link_at, s.link_hub = np.ascontiguousarray(pairs[:, 0]), np.ascontiguousarray(pairs[:, 1])
+                found.append((i, h, hub_id))
+        pairs = np.unique(np.concatenate([np.stack([s.link_at, s.link_hub, s.link_id], axis=1), np.array(found, dtype=np.int64).reshape(-1, 3)]), axis=0)
+        s.link_at, s.link_hub, s.link_id = (np.ascontiguousarray(pairs[:, j]) for j in range(3))
+        s.asked_at = s.asked_hub = s.asked_id = np.zeros(0, np.int64)
         yield state_row(block, s.packed())
 
     return ask(state, n, send, answer, fold, STATE)
 
 
-def _count(state: DataFrame, what) -> int:
+def _count(state: DataFrame) -> tuple[int, int]:
+    """Comparisons that are asked for and buckets' members that are open, in all blocks."""
+    kind = pa.schema([("asked", pa.int64()), ("open", pa.int64())])
+
     def counted(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"n": [sum(what(_State(d.as_py())) for d in batch["data"])]}, pa.schema([("n", pa.int64())]))
+            states = [_State(d.as_py()) for d in batch["data"]]
+            yield pa.RecordBatch.from_pydict({"asked": [sum(len(s.asked_at) for s in states)], "open": [sum(len(s.keys) for s in states)]}, kind)
 
-    return state.mapInArrow(counted, "n long").agg(F.sum("n")).first()[0] or 0
+    return tuple(x or 0 for x in state.mapInArrow(counted, "asked long, open long").agg(F.sum("asked"), F.sum("open")).first())
+
+
+_NODES = ("u_id", "u_at", "v_id", "v_at")
 
 
 def _links(state: DataFrame) -> DataFrame:
+    """(u, v): links between rows, each struct<id, at>."""
+
     def out(batches):
         for batch in batches:
             for d in batch["data"]:
                 s = _State(d.as_py())
-                yield pa.RecordBatch.from_pydict({"u": s.ids[s.cand[s.link_at]], "v": s.link_hub}, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+                found = np.concatenate([s.done.reshape(-1, 4), np.stack([s.cid[s.link_at], s.place[s.link_at], s.link_id, s.link_hub], axis=1)])
+                yield pa.RecordBatch.from_pydict({k: found[:, j] for j, k in enumerate(_NODES)}, pa.schema([(k, pa.int64()) for k in _NODES]))
 
-    return state.mapInArrow(out, "u long, v long")
+    return state.mapInArrow(out, ", ".join(f"{k} long" for k in _NODES)).select(F.struct(F.col("u_id").alias("id"), F.col("u_at").alias("at")).alias("u"), F.struct(F.col("v_id").alias("id"), F.col("v_at").alias("at")).alias("v"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -318,7 +445,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(small, "u")
-        edges = checkpointed(step.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(step.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        old, edges = edges, checkpointed(step.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(step.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        forget(old)
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:
             return edges
@@ -331,10 +459,10 @@ def _labelled(state: DataFrame, labels: DataFrame, n: int) -> DataFrame:
     def label_blocks(batches):
         first = (1 << 62) + (TaskContext.get().partitionId() << 32)
         for k, b in enumerate(batches):
-            yield state_row(first + k, pack(np.asarray(b["u"], dtype=np.int64), np.asarray(b["v"], dtype=np.int64)))
+            yield state_row(first + k, pack(np.asarray(b["at"], dtype=np.int64), np.asarray(b["id"], dtype=np.int64)))
 
-    def keyed(ids):
-        key = mix(ids.astype(np.uint64) + GOLDEN)
+    def keyed(at):
+        key = mix(at.astype(np.uint64) + GOLDEN)
         order = np.argsort(key)
         return order, _parts(key[order], n)
 
@@ -345,44 +473,60 @@ def _labelled(state: DataFrame, labels: DataFrame, n: int) -> DataFrame:
             yield k, pack(nodes[order[part]], told[order[part]] if len(told) else told)
 
     def answer(owner, messages):
-        got, known = [unpack(m) for _, m in messages], {}
-        for nodes, told in got:
-            known.update(zip(nodes.tolist(), told.tolist(), strict=False))
+        got = [unpack(m) for _, m in messages]
+        at, label = (_cat([g[j] for g in got if len(g[1])]) for j in (0, 1))
+        order = np.argsort(at)
+        at, label = at[order], label[order]
         for (block, _), (nodes, _) in zip(messages, got, strict=True):
             if block < 1 << 62:
-                yield block, pack(nodes, np.array([known.get(x, x) for x in nodes.tolist()], dtype=np.int64))
+                where = np.minimum(np.searchsorted(at, nodes), max(len(at) - 1, 0))
+                known = at[where] == nodes if len(at) else np.zeros(len(nodes), bool)
+                yield block, pack(nodes[known], label[where[known]] if len(at) else nodes[known])
 
     def fold(block, data, replies):
         if block >= 1 << 62:
             return
-        s, known = _State(data), {}
-        for reply in replies.values():
-            known.update(zip(*(x.tolist() for x in unpack(reply)), strict=True))
-        comp = [known[r] for r in s.rep.tolist()]
-        yield rows(RESULT, doc_id=s.ids, n_shingles=s.size, component_id=comp, kept=s.ids == np.array(comp, dtype=np.int64))
+        s = _State(data)
+        told = [unpack(r) for r in replies.values()]
+        at, label = (_cat([t[j] for t in told]) for j in (0, 1))
+        order = np.argsort(at)
+        at, label = at[order], label[order]
+        comp = s.rep_id.copy()
+        if len(at):
+            where = np.minimum(np.searchsorted(at, s.rep), len(at) - 1)
+            comp = np.where(at[where] == s.rep, label[where], comp)
+        named = lambda x: pa.array(x, pa.int64(), mask=x == _LAST)
+        yield rows(RESULT, doc_id=named(s.ids), n_shingles=s.size, component_id=named(comp), kept=s.ids == comp)
 
-    return ask(state.unionByName(labels.mapInArrow(label_blocks, STATE)), n, send, answer, fold, RESULT)
+    told = labels.select("u.at", "v.id").mapInArrow(label_blocks, STATE)
+    return ask(state.unionByName(told), n, send, answer, fold, RESULT)
 
 
 def groups(docs: DataFrame, percent: int = 75, n_owners: int | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row."""
     n = n_owners or owners(docs)
-    state, turn = _classes(docs, n), 0
+    state, first = _classes(docs, n), True
     while True:
-        asked = checkpointed(_requests(state, n, HUBS[min(turn, len(HUBS) - 1)]))
-        if not _count(asked, lambda s: len(s.asked_at)):
+        old, state = state, checkpointed(_requests(state, n, first))
+        forget(old)
+        asked, left = _count(state)
+        if asked:
+            old, state = state, checkpointed(_verified(state, n, percent))
+            forget(old)
+        if not left:
             break
-        state = checkpointed(_verified(asked, n, percent))
-        turn += 1
+        first = False
     return _labelled(state, components(_links(state)), n)
 
 
 def stage(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One document of each group: the row with the smallest doc_id of its component (null last), with rows told apart by a key where doc_ids are repeated or null."""
+    row, gone = fresh(docs, "row"), fresh(docs, "gone")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count():
-        keyed = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
-        found = groups(keyed.withColumn("doc_id", F.col("_row")), percent).select(F.col("doc_id").alias("_row"), "component_id")
-        first = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("m"))
-        return keyed.join(first.select("m._row"), "_row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
-    found = groups(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["_gone"], "left_anti")
+        keyed = checkpointed(docs.withColumn(row, F.monotonically_increasing_id()))
+        found = groups(keyed.select(F.col(row).alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("at"), "component_id")
+        first = found.join(keyed.select(F.col(row).alias("at"), "doc_id"), "at").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at")).alias("m"))
+        return keyed.join(first.select(F.col("m.at").alias(row)), row, "left_semi").select(*columns)
+    found = groups(docs, percent).where(~F.col("kept")).select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, docs["doc_id"] == found[gone], "left_anti")
