@@ -17,7 +17,9 @@ answers each block in the order in which the block asked.
 
 from __future__ import annotations
 
+import ctypes
 import os
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 
 BLOCK_BYTES = 2 << 20
 OWNER_BYTES = 8 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
 _STATE = "block long, owner int, data binary"
 _MESSAGE = "owner int, block long, data binary"
 
@@ -151,15 +154,34 @@ def checkpointed(df: DataFrame) -> DataFrame:
         spark.conf.unset(_DROP) if before is None else spark.conf.set(_DROP, before)
 
 
+def tabled(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a written table in the shared folder.  Unlike a checkpoint, a table has a size that
+    Spark reads anew, so estimates do not multiply from round to round of a loop of joins."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.parquet(path)
+    out.kept_at = path
+    return out
+
+
 def forget(df: DataFrame) -> None:
-    """Removes the files of a checkpointed frame that nothing will read again."""
-    spark = df.sparkSession
-    file = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
-    if file.isDefined():
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+    """Removes the files of a checkpointed or tabled frame that nothing will read again."""
+    spark, file = df.sparkSession, getattr(df, "kept_at", None)
+    if file is None:
+        found = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        file = found.get() if found.isDefined() else None
+    if file:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trimmed() -> None:
+    """Gives freed memory back to the system, so that workers that wait do not hold what their last block took."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that the frame does not have, in any case."""
     taken = {c.lower() for c in df.columns}
@@ -213,6 +235,8 @@ def ask(state: DataFrame | Docs, n: int, send: Send, answer: Answer, fold, schem
         told = list(send(block, data))
         if told:
             yield _rows([owner for owner, _ in told], [block] * len(told), [m for _, m in told])
+        del told
+        trimmed()
 
     def sending(batches):
         if isinstance(source, Docs):
@@ -236,6 +260,8 @@ def ask(state: DataFrame | Docs, n: int, send: Send, answer: Answer, fold, schem
             told = list(answer(owner, sorted(got.pop(owner))))
             if told:
                 yield pa.RecordBatch.from_pydict({"block": [block for block, _ in told], "owner": pa.array([owner] * len(told), pa.int32()), "data": [reply for _, reply in told]})
+            del told
+            trimmed()
 
     def folding(table):
         own, replies = None, {}
@@ -246,6 +272,8 @@ def ask(state: DataFrame | Docs, n: int, send: Send, answer: Answer, fold, schem
             else:
                 replies[owner] = data.as_py()
         out = list(fold(block, own, replies))
+        del own, replies
+        trimmed()
         return pa.Table.from_batches(out) if out else pa.Table.from_pylist([], schema=to_arrow(schema))
 
     if isinstance(state, Docs):

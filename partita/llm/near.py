@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.blocks import GOLDEN, STATE, Docs, ask, bytes_table, checkpointed, forget, fresh, mix, owner_of, owners, pack, rows, state_row, unique_pairs, unpack
+from partita.llm.blocks import GOLDEN, STATE, Docs, ask, bytes_table, checkpointed, forget, fresh, mix, owner_of, owners, pack, rows, state_row, tabled, unique_pairs, unpack
 from partita.llm.words import Words
 
 SHINGLE, SLOTS, ROWS = 5, 97, 3
@@ -438,14 +438,14 @@ def _links(state: DataFrame) -> DataFrame:
 
 def components(links: DataFrame) -> DataFrame:
     """(u, v): v is the smallest node of u's component, for all nodes but the smallest ones (large star, small star)."""
-    edges, before = checkpointed(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()), None
+    edges, before = tabled(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(small, "u")
-        old, edges = edges, checkpointed(step.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(step.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        old, edges = edges, tabled(step.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(step.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         forget(old)
         now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if now == before:

@@ -20,10 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.blocks import checkpointed
+from partita.llm.blocks import checkpointed, fresh
 
 GROWTH = 1.05
 PRIOR_ROWS = 200
+ROW_BYTES, BROADCAST_BYTES = 256, 8 << 20  # of a group's thresholds, and of all that may be broadcast
 FLOORS = {"symbols": 0.3, "dup_lines": 0.3, "repeats": 0.3}
 SPACE = r"translate(t, ' \t\n' || chr(11) || chr(12) || '\r', '')"
 
@@ -54,13 +55,13 @@ def measures(docs: DataFrame) -> DataFrame:
     return found.withColumn("_m", F.struct("_m.n_words", "_m.word_chars", "_m.n_symbols", "_m.l.n_lines", "_m.l.n_dup_lines", "_m.n_repeat_words"))
 
 
-def failed():
-    return (F.col("_m.n_words") < 50) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
+def failed(m: str = "_m"):
+    return (F.col(f"{m}.n_words") < 50) | (100 * F.col(f"{m}.n_repeat_words") > 50 * F.col(f"{m}.n_words"))
 
 
-def rates() -> dict:
-    n = F.greatest(F.col("_m.n_words"), F.lit(1))
-    return {"symbols": F.col("_m.n_symbols") / n, "dup_lines": F.col("_m.n_dup_lines") / F.greatest(F.col("_m.n_lines"), F.lit(1)), "repeats": F.col("_m.n_repeat_words") / n}
+def rates(m: str = "_m") -> dict:
+    n = F.greatest(F.col(f"{m}.n_words"), F.lit(1))
+    return {"symbols": F.col(f"{m}.n_symbols") / n, "dup_lines": F.col(f"{m}.n_dup_lines") / F.greatest(F.col(f"{m}.n_lines"), F.lit(1)), "repeats": F.col(f"{m}.n_repeat_words") / n}
 
 
 def _joined(prior: str, rows: str) -> Column:
@@ -86,14 +87,18 @@ def thresholds(measured: DataFrame) -> DataFrame:
     return hist.select("lang", "source", "name", most.alias("most")).groupBy("lang", "source").pivot("name", list(FLOORS)).agg(F.first("most"))
 
 
-def judged(measured: DataFrame) -> DataFrame:
+def judged(measured: DataFrame, m: str = "_m") -> DataFrame:
     """Measured documents with ``base_failed`` and ``kept``."""
-    own = checkpointed(thresholds(measured)).select(F.col("lang").alias("_l"), F.col("source").alias("_s"), F.struct(*FLOORS).alias("_own"))
-    out = measured.join(own, F.col("lang").eqNullSafe(F.col("_l")) & F.col("source").eqNullSafe(F.col("_s")), "left")
+    own = checkpointed(thresholds(measured.select("lang", "source", F.col(m).alias("_m"))))
+    if own.count() * ROW_BYTES <= BROADCAST_BYTES:  # else the documents are shuffled by language and source
+        own = F.broadcast(own)
+    lang, source, fences = fresh(measured, "own_lang"), fresh(measured, "own_source"), fresh(measured, "own_fences")
+    own = own.select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*FLOORS).alias(fences))
+    out = measured.join(own, F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source)), "left")
     fine = F.lit(True)
-    for k, x in rates().items():
-        fine = fine & F.coalesce(x <= F.col(f"_own.{k}"), F.lit(True))  # groups without a fence have no row that passes the base rules
-    return out.withColumn("base_failed", failed()).withColumn("kept", ~failed() & fine).drop("_l", "_s", "_own")
+    for k, x in rates(m).items():
+        fine = fine & F.coalesce(x <= F.col(f"{fences}.{k}"), F.lit(True))  # groups without a fence have no row that passes the base rules
+    return out.withColumn("base_failed", failed(m)).withColumn("kept", ~failed(m) & fine).drop(lang, source, fences)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -102,5 +107,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with the columns of docs."""
-    return judged(measures(docs)).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that the rules keep, with the columns of docs, whatever they are called.  Rows are
+    measured once, beside what they hold packed into one column, and written before they are judged."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"), F.col("lang"), F.col("source"))
+    measured = checkpointed(measures(packed).drop("text"))
+    return judged(measured).where("kept").select(*[F.col(f"row.`{c}`") for c in docs.columns])
