@@ -1 +1,221 @@
-"""Symbolic sequence analytics on Spark."""
+"""Operators on tables of notes, events, tokens, texts and vectors.
+
+An operator is a function of its parameters that writes SQL over named inputs; calling it with
+DataFrames runs that SQL in their session, where Catalyst plans it together with the rest of the
+query.  ``text`` gives the SQL for either dialect, so the same operator can be held against DuckDB.
+"""
+
+from __future__ import annotations
+
+import functools
+import inspect
+import re
+
+from pyspark.sql import DataFrame
+
+
+class Spark:
+    """The functions whose names or forms differ between the dialects, for Spark SQL."""
+
+    name, explode, size, double = "spark", "explode", "size", "{}D"
+
+    def alist(self, x: str, *order: str) -> str:
+        """An aggregated array in ascending order of unique order columns."""
+        return f"transform(array_sort(collect_list(struct({', '.join(f'{o} as o{i}_' for i, o in enumerate(order))}, {x} as v_))), e_ -> e_.v_)"
+
+    def sorted_set(self, x: str) -> str:
+        return f"array_sort(collect_set({x}))"
+
+    def map(self, a: str, var: str, body: str) -> str:
+        return f"transform({a}, {var} -> {body})"
+
+    def where(self, a: str, var: str, body: str) -> str:
+        return f"filter({a}, {var} -> {body})"
+
+    def part(self, a: str, start: str | int, n: str | int) -> str:
+        return f"slice({a}, {start}, {n})"
+
+    def at(self, a: str, i: str | int) -> str:
+        return f"try_element_at({a}, cast({i} as int))"
+
+    def range(self, a: str | int, b: str | int) -> str:
+        """Numbers from a to b; none if b < a."""
+        return f"if({b} < {a}, cast(array() as array<int>), sequence(cast({a} as int), cast({b} as int)))"
+
+    def joined(self, a: str, sep: str) -> str:
+        return f"array_join({a}, '{sep}')"
+
+    def array(self, *xs: str) -> str:
+        return f"array({', '.join(map(str, xs))})"
+
+    def numbered(self, a: str, i: str, x: str) -> str:
+        return f"posexplode({a}) as ({i}, {x})"
+
+    def fold(self, a: str, start: str, acc: str, x: str, body: str) -> str:
+        return f"aggregate({a}, {start}, ({acc}, {x}) -> {body})"
+
+    def sort(self, a: str) -> str:
+        return f"array_sort({a})"
+
+    def unique(self, a: str) -> str:
+        return f"array_distinct({a})"
+
+    def concat(self, *xs: str) -> str:
+        return f"concat({', '.join(xs)})"
+
+    def has(self, a: str, x: str) -> str:
+        return f"array_contains({a}, {x})"
+
+    def reverse(self, a: str) -> str:
+        return f"reverse({a})"
+
+    def replace(self, s: str, pattern: str, by: str) -> str:
+        return f"regexp_replace({s}, r'{pattern}', r'{by}')"
+
+    def matches(self, s: str, pattern: str) -> str:
+        return f"({s} rlike r'{pattern}')"
+
+    def split(self, s: str, pattern: str) -> str:
+        return f"split({s}, r'{pattern}')"
+
+    def extract(self, s: str, pattern: str, group: int) -> str:
+        return f"regexp_extract({s}, r'{pattern}', {group})"
+
+    def bround(self, x: str, n: int = 0) -> str:
+        return f"bround({x}, {n})"
+
+    def percentile(self, x: str, q: float) -> str:
+        return f"percentile({x}, {q})"
+
+    def last(self, x: str, over: str) -> str:
+        return f"last_value({x}) ignore nulls over ({over})"
+
+    def trunc(self, x: str) -> str:
+        return f"cast({x} as bigint)"
+
+
+class Duck(Spark):
+    """The same for DuckDB."""
+
+    name, explode, size, double = "duck", "unnest", "len", "{}::double"
+
+    def alist(self, x, *order):
+        return f"list({x} order by {', '.join(order)})"
+
+    def sorted_set(self, x):
+        return f"list_sort(list(distinct {x}))"
+
+    def map(self, a, var, body):
+        return f"list_transform({a}, lambda {var}: {body})"
+
+    def where(self, a, var, body):
+        return f"list_filter({a}, lambda {var}: {body})"
+
+    def part(self, a, start, n):
+        return f"list_slice({a}, {start}, {start} + {n} - 1)"
+
+    def at(self, a, i):
+        return f"list_extract({a}, cast({i} as int))"
+
+    def range(self, a, b):
+        return f"range(cast({a} as int), cast({b} as int) + 1)"
+
+    def joined(self, a, sep):
+        return f"coalesce(array_to_string({a}, '{sep}'), '')"
+
+    def array(self, *xs):
+        return f"[{', '.join(map(str, xs))}]"
+
+    def numbered(self, a, i, x):
+        return f"generate_subscripts({a}, 1) - 1 as {i}, unnest({a}) as {x}"
+
+    def fold(self, a, start, acc, x, body):
+        return f"list_reduce(list_prepend({start}, {a}), lambda {acc}, {x}: {body})"
+
+    def sort(self, a):
+        return f"list_sort({a})"
+
+    def unique(self, a):
+        return f"list_sort(list_distinct({a}))"
+
+    def concat(self, *xs):
+        return f"list_concat({', '.join(xs)})"
+
+    def has(self, a, x):
+        return f"list_contains({a}, {x})"
+
+    def reverse(self, a):
+        return f"list_reverse({a})"
+
+    def replace(self, s, pattern, by):
+        by = re.sub(r"\$(\d)", r"\\\1", by)
+        return f"regexp_replace({s}, '{pattern}', '{by}', 'g')"
+
+    def matches(self, s, pattern):
+        return f"regexp_matches({s}, '{pattern}')"
+
+    def split(self, s, pattern):
+        return f"regexp_split_to_array({s}, '{pattern}')"
+
+    def extract(self, s, pattern, group):
+        return f"regexp_extract({s}, '{pattern}', {group})"
+
+    def bround(self, x, n=0):
+        return f"round_even({x}, {n})"
+
+    def percentile(self, x, q):
+        return f"quantile_cont({x}, {q})"
+
+    def last(self, x, over):
+        return f"last_value({x} ignore nulls) over ({over})"
+
+    def trunc(self, x):
+        return f"cast(trunc({x}) as bigint)"
+
+
+SPARK, DUCK = Spark(), Duck()
+
+
+_LITERAL = re.compile(r"'[^']*'|(?<![\w.])\d+\.\d+(?![\w.])")
+
+
+def _doubles(text: str, form: str) -> str:
+    """Numbers with a point as doubles; both dialects read them as decimals otherwise."""
+    return _LITERAL.sub(lambda m: m[0] if m[0][0] == "'" else form.format(m[0]), text)
+
+
+class Operator:
+    """An SQL operator over the inputs that its text names in braces."""
+
+    def __init__(self, build):
+        self.build = build
+        functools.update_wrapper(self, build)
+        self.takes_dialect = next(iter(inspect.signature(build).parameters), "") == "d"
+
+    def text(self, dialect: Spark = SPARK, **parameters) -> str:
+        body = self.build(dialect, **parameters) if self.takes_dialect else self.build(**parameters)
+        return _doubles(body, dialect.double)
+
+    def inputs(self, **parameters) -> list[str]:
+        return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", self.text(**parameters))))
+
+    def __call__(self, *frames: DataFrame, **parameters) -> DataFrame:
+        """Runs over the frames, given in the order in which the text first names its inputs."""
+        body = self.text(**parameters)
+        names = list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", body)))
+        if len(names) != len(frames):
+            raise TypeError(f"{self.__name__} takes the inputs {', '.join(names)}")
+        return frames[0].sparkSession.sql(body, **dict(zip(names, frames, strict=True)))
+
+
+def operator(build) -> Operator:
+    return Operator(build)
+
+
+def mod(x: str, n: str | int) -> str:
+    """A remainder that is never negative."""
+    return f"((({x}) % {n}) + {n}) % {n}"
+
+
+def floor_div(x: str, n: str | int) -> str:
+    return f"cast(floor(({x}) / cast({n} as double)) as bigint)"
