@@ -125,10 +125,21 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", size: int = BL
             yield pa.Table.from_batches([batch.slice(a, b - a)])
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def short_batches(spark: SparkSession, most: int = 1000) -> None:
+    """Arrow batches of at most so many rows, unless the session says otherwise: the default of 10,000 long texts
+    takes tens of MB in the JVM, outside its heap, and as much again in each Python worker."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(most))
+
+
 class Docs:
     """Documents as the blocks of a first round: what they ask is told where they are read."""
 
     def __init__(self, docs: DataFrame, size: int = BLOCK_BYTES):
+        short_batches(docs.sparkSession)
         self.frame, self.size = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), size
 
     def cut(self, batches) -> Iterator[tuple[int, pa.Table]]:

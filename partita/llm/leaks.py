@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partita.llm.blocks import short_batches
+
 RATE, SHORTEST, BLOCK = 0.05, 40, 20_000
 
 
@@ -91,6 +93,7 @@ class Matcher:
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """(doc_id, n_items, items, distance, kept) for every row of docs; each block of items adds to the columns of the last."""
+    short_batches(docs.sparkSession)
     items, block = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("item_id").isNotNull()).orderBy("item_id").toLocalIterator(), []
     out, before = docs.select("doc_id", F.col("text").cast("string")), None
 
@@ -119,6 +122,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
 def stage(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The rows of docs in which no item occurs, with the columns of docs; a scan for each block of items."""
+    short_batches(docs.sparkSession)
     items, block = benchmark.select(F.col("item_id").cast("long"), "text").where(F.col("item_id").isNotNull()).orderBy("item_id").toLocalIterator(), []
 
     def clean(frame, block):

@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.blocks import rows
+from partita.llm.blocks import rows, short_batches, trimmed
 
-LENGTH, UNIT, CHUNK, END, ROUNDS = 2048, 16, 16_384, 1, 400
+LENGTH, UNIT, CHUNK, END, ROUNDS = 2048, 16, 8192, 1, 400
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-WORD_CACHE = 400_000  # pieces of a generation
+WORD_CACHE = 150_000  # pieces of a generation
 
 
 def best_pattern(prices: np.ndarray, size: int) -> tuple[float, np.ndarray]:
@@ -188,6 +188,8 @@ def packed(docs: DataFrame, file: str | None = None, size: int = LENGTH, end: in
 
         file = public_tokenizers.path("word_bpe_49k.json")
 
+    short_batches(docs.sparkSession)
+
     def run(batches):
         import os
 
@@ -216,6 +218,7 @@ def packed(docs: DataFrame, file: str | None = None, size: int = LENGTH, end: in
                     offset += n
                 sequence += 1
             heads.clear(), tails.clear()
+            trimmed()
             return rows(RESULT, **columns)
 
         for batch in batches:

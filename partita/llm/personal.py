@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.blocks import rows
+from partita.llm.blocks import rows, short_batches
 
 KINDS = ("email", "ip", "card", "phone", "loose_email", "loose_number", "loose_account")
 EXAMPLES, PRECISION, TREES, RATE, CONTEXT = 6000, 0.99, 60, 0.3, 24
@@ -222,6 +222,7 @@ def _line(spans: list) -> str:
 
 def report(docs: DataFrame) -> DataFrame:
     given = model()
+    short_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
@@ -245,6 +246,7 @@ def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
 def stage(docs: DataFrame) -> DataFrame:
     """docs with personal data replaced in ``text``; a column n_chars, where given, follows the text."""
     given, names = model(), docs.columns
+    short_batches(docs.sparkSession)
 
     def run(batches):
         for batch in batches:
