@@ -186,18 +186,18 @@ def _shortest(labelled: DataFrame, rows: int) -> DataFrame:
 
 
 def _roots(links: DataFrame) -> DataFrame:
-    """(comp, root) by label propagation with pointer jumping over the few links of a round."""
+    """(comp, root): each component points to the one that its shortest edge leads to; of two that point at each
+    other the smaller is the root; pointers are doubled until they stand still."""
     from partita.operators.iterate import checkpointed
 
-    both = checkpointed(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    now = checkpointed(both.groupBy(F.col("u").alias("comp")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
+    back = links.select(F.col("u").alias("v"), F.col("v").alias("w"))
+    now = checkpointed(links.join(back, "v", "left").select(F.col("u").alias("comp"), F.when((F.col("w") == F.col("u")) & (F.col("u") < F.col("v")), F.col("u")).otherwise(F.col("v")).alias("root")))
     while True:
-        near = both.join(now.select(F.col("comp").alias("v"), "root"), "v").groupBy(F.col("u").alias("comp")).agg(F.min("root").alias("near"))
-        jump = now.select(F.col("comp").alias("root"), F.col("root").alias("jump"))
-        step = checkpointed(now.join(near, "comp").join(jump, "root").select("comp", F.least("root", "near", "jump").alias("root"), F.col("root").alias("old")))
-        if not step.where("root <> old").limit(1).count():
-            return step.select("comp", "root")
-        now = step.select("comp", "root")
+        jump = now.select(F.col("comp").alias("root"), F.col("root").alias("next"))
+        step = checkpointed(now.join(jump, "root", "left").select("comp", F.coalesce("next", "root").alias("next"), "root"))
+        now = step.select("comp", F.col("next").alias("root"))
+        if not step.where("root <> next").limit(1).count():
+            return now
 
 
 def tree_path(tree: DataFrame, start: int, end: int) -> list[int]:

@@ -211,7 +211,7 @@ def chain_json(spark, sf):
 
 def chain_walks(spark, sf):
     sums = mining.chain_sums(_notes(spark, sf).withColumn("pitch", F.col("pitch") % 4), size=2)
-    return mining.walks(sums, mining.starts(spark, 20), 2).select("walk", F.array_join("tokens", " ").alias("tokens"), F.col("done").cast("int").alias("done"))
+    return mining.walks(sums, mining.starts(spark, 20), 2, most=6).select("walk", F.array_join("tokens", " ").alias("tokens"), F.col("done").cast("int").alias("done"))
 
 
 def translation_counts(spark, sf):

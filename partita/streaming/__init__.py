@@ -70,7 +70,7 @@ _STATE = "tones array<int>"
 def detect(events: DataFrame, keep: int = 4) -> DataFrame:
     """For each user and event: the last distinct tones (event value mod 12) held, and their chord's name if it has one.
 
-    On a stream the tones are state (``applyInPandasWithState``), dropped after a day without events; events of one
+    On a stream the tones are state (``applyInPandasWithState``), dropped when the watermark is a day past a user's last event; events of one
     trigger are taken in time order.  On a batch the same fold runs over each user's events."""
     from partita.functions.theory import NoMatch, name_chord
 
@@ -104,10 +104,10 @@ def detect(events: DataFrame, keep: int = 4) -> DataFrame:
         rows = pd.concat(list(batches))
         tones, out = fold(key[0], tones, rows)
         state.update((tones,))
-        state.setTimeoutDuration(24 * 3600 * 1000)
+        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + 24 * 3600 * 1000)
         yield out
 
-    return chosen.groupBy("user_id").applyInPandasWithState(live, _OUT, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return chosen.withWatermark("ts", LATE).groupBy("user_id").applyInPandasWithState(live, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
