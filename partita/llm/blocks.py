@@ -209,7 +209,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """The plan's size; where Spark does not know it (it then says the largest number), the texts are measured."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 55:
+        size = df.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return size
 
 
 def owners(df: DataFrame, per_owner: int = OWNER_BYTES) -> int:
