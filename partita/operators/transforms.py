@@ -88,9 +88,9 @@ def replace_values(threshold: int = 64, value: int = 0, above: bool = False) ->
 
 
 @operator
-def drop_outliers(z: float = 1.0) -> str:
-    """Rows whose onset, duration and pitch are all within z population deviations of the sequence's means."""
-    parts = [f"abs({c} - avg(cast({c} as double)) over (partition by seq_id)) < {z} * stddev_pop(cast({c} as double)) over (partition by seq_id)" for c in ("dur", "pitch")]
+def drop_outliers(z: float = 1.3) -> str:
+    """Rows whose duration and pitch are within z population deviations of the sequence's means."""
+    parts = [f"round(abs({c} - avg(cast({c} as double)) over (partition by seq_id)), 6) < round({z} * stddev_pop(cast({c} as double)) over (partition by seq_id), 6)" for c in ("dur", "pitch")]
     return f"select seq_id, pos, dur, pitch from (select *, {' and '.join(parts)} as fine from {{notes}}) t where fine"
 
 
