@@ -195,7 +195,7 @@ def scale_steps(d) -> str:
 @operator
 def scales_that_hold(d, altered: int = 1) -> str:
     """Major scales that hold all of a sequence's pitch classes, or all but so many that lie a semitone beside one."""
-    rows = " union all ".join(f"select {k} as k, {(k + p) % 12} as pc" for k in range(12) for p in (0, 2, 4, 5, 7, 9, 11))
+    rows = "select * from (values " + ", ".join(f"({k}, {(k + p) % 12})" for k in range(12) for p in (0, 2, 4, 5, 7, 9, 11)) + ") as v_(k, pc)"
     return f"""with p as (select distinct seq_id, pitch % 12 as pc from {{notes}}), n as (select seq_id, count(*) as n from p group by seq_id)
  select p.seq_id, s.k as scale, max(n.n) - count(*) as altered from p join ({rows}) s on p.pc = s.pc join n on n.seq_id = p.seq_id where n.n >= 2 group by p.seq_id, s.k having max(n.n) - count(*) <= {altered}"""
 

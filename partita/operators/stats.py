@@ -11,8 +11,9 @@ KEY_WEIGHTS = (6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29,
 
 
 def _rows(*rows: tuple) -> str:
-    """A small table of numbers or names as unions, which both dialects read."""
-    return " union all ".join("select " + ", ".join(f"'{x}' as c{i}" if isinstance(x, str) else f"{x} as c{i}" for i, x in enumerate(r)) for r in rows)
+    """A small table of numbers or names, with the columns c0, c1 and so on."""
+    body = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    return f"select * from (values {body}) as v_({', '.join(f'c{i}' for i in range(len(rows[0])))})"
 
 
 def _numbers(n: int) -> str:

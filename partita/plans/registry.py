@@ -10,7 +10,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from partita.functions import text, theory
-from partita.operators import DUCK, Operator, joins, mining, stats, transforms, vectors, windows
+from partita.operators import DUCK, Operator, basics, joins, mining, stats, transforms, vectors, windows
 
 VIEWS = {
     "notes": """select l_orderkey as seq_id, cast(l_quantity as int) as dur, cast(l_suppkey % 16 as int) as channel, cast(l_partkey % 128 as int) as pitch, 1 + (l_linenumber * 16) % 127 as velocity, l_linenumber as onset,
@@ -58,7 +58,7 @@ def _all(module, *skip: str) -> dict[str, tuple[Operator, dict]]:
 
 
 ENTRIES: dict[str, tuple[Operator, dict]] = {
-    **_all(transforms), **_all(stats), **_all(windows), **_all(joins), **_all(mining), **_all(vectors), **_all(theory), **_all(text),
+    **_all(transforms), **_all(stats), **_all(windows), **_all(joins), **_all(mining), **_all(vectors), **_all(theory), **_all(text), **_all(basics),
     "reverse_pitches": (transforms.reverse_melody, {"full": False}),
     "replace_loud": (transforms.replace_values, {"above": True}),
     "adjust_times_strict": (transforms.adjust_times, {"function": "floor(t / 20.0)", "least": None}),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from partita import streaming
 from partita.functions import text, theory
-from partita.operators import inference, joins, mining, vectors
+from partita.operators import basics, inference, joins, mining, vectors
 from partita.operators.iterate import shared_folder
 from partita.plans.registry import VIEWS, view
 from partita.sources import datasets, midi, musicxml, sequences
@@ -267,6 +267,10 @@ def cut_chunks(spark, sf):
     return datasets.cut_chunks(_tokens(spark, sf).withColumnRenamed("tokens", "chunk"), 6).select("seq_id", F.size("chunk").alias("n"))
 
 
+def healed_notes(spark, sf):
+    return basics.healed(_notes(spark, sf))[1]
+
+
 def clean_titles(spark, sf):
     return text.with_titles(view(spark, sf, "docs").select("doc_id", F.element_at(F.split("text", r"[.\n]"), 1).alias("title"))).select("doc_id", "clean")
 
@@ -345,7 +349,7 @@ QUERIES = {f.__name__: f for f in (
     midi_round_trip, midi_event_kinds, midi_without_offs, pairs_that_close_all, tempo_map, to_millis, to_ticks, ms_notes, note_sequences, instruments, number_rows, cropped_rows, wrapped_notes, files_read_safely,
     merged_scores, same_ticks, asof_chord, near_ends, overlapping_notes, chord_symbols, chord_dimension, spelled_chords, spelled_scales, spelled_intervals, hz_columns, frequent_patterns, learned_pairs, pairs_and_back,
     encoded_and_back, retokenized, repeated_patterns, negatives, chain_json, chain_walks, translation_counts, nearest_neighbours, spanning_tree, principal_components, inferred_chords, inferred_melody, harmonised,
-    estimated_tempi, scores_round_trip, cut_chunks, clean_titles, clean_artists, file_names, alike_titles, sentence_counts, parted_words, word_parts, page_ranks, search_texts,
+    estimated_tempi, scores_round_trip, cut_chunks, healed_notes, clean_titles, clean_artists, file_names, alike_titles, sentence_counts, parted_words, word_parts, page_ranks, search_texts,
     stream_tumbling, stream_sliding, stream_sessions, stream_distinct, stream_users, stream_detector,
 )}
 
