@@ -62,13 +62,20 @@ def viterbi(start: np.ndarray, move: np.ndarray, seen: np.ndarray) -> np.ndarray
     return path
 
 
-def key_chord_path(prior: np.ndarray, seen: np.ndarray, key_change: float, chord_change: float) -> np.ndarray:
+@lru_cache(4)
+def _key_chord_model(out_of_key: float, key_change: float, chord_change: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logarithms of the start, of the moves within each key and of the way into each state from other keys."""
+    prior = key_chord_prior(out_of_key)
+    within = np.stack([transitions(prior[[a, a]], 0.5, chord_change)[0, :, 0, :] * 2 * (1 - key_change) for a in range(len(prior))])
+    return np.log(prior / len(prior)), np.log(within), np.log(key_change / (len(prior) - 1)) + np.log(prior)
+
+
+def key_chord_path(seen: np.ndarray, out_of_key: float, key_change: float, chord_change: float) -> np.ndarray:
     """``viterbi`` over (key, chord) with ``transitions``, whose two parts are taken apart: within a key all chords
     are compared; from other keys only the best state of each matters, as the way in is the same for all."""
-    keys, chords = prior.shape
-    within = np.log(np.stack([transitions(prior[[a, a]], 0.5, chord_change)[0, :, 0, :] * 2 * (1 - key_change) for a in range(keys)]))
-    across = np.log(key_change / (keys - 1)) + np.log(prior)
-    best, back = np.log(prior / keys) + seen[0][None, :], np.zeros((len(seen), keys, chords), dtype=np.int64)
+    start, within, across = _key_chord_model(out_of_key, key_change, chord_change)
+    keys, chords = start.shape
+    best, back = start + seen[0][None, :], np.zeros((len(seen), keys, chords), dtype=np.int64)
     for t in range(1, len(seen)):
         total = best[:, :, None] + within
         came = total.argmax(axis=1)
@@ -98,7 +105,7 @@ def _chord_tones() -> np.ndarray:
 def chords_of_frames(vectors: np.ndarray, concentration: float = 100.0, out_of_key: float = 0.01, key_change: float = 0.001, chord_change: float = 0.5) -> list[tuple[int, str]]:
     """(key, chord) of each frame of unit pitch-class vectors."""
     near = concentration * np.einsum("fp,cp->fc", vectors, _chord_tones())
-    path, n = key_chord_path(key_chord_prior(out_of_key), near, key_change, chord_change), len(chord_names())
+    path, n = key_chord_path(near, out_of_key, key_change, chord_change), len(chord_names())
     return [(int(s // n), chord_names()[int(s % n)][0]) for s in path]
 
 

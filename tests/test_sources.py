@@ -2,6 +2,8 @@
 
 import struct
 
+import numpy as np
+
 from partita.operators import inference, joins, mining
 from partita.sources import midi, musicxml
 
@@ -66,6 +68,18 @@ def test_music_xml():
     assert musicxml.playable(musicxml.parse(score), melody=True) == [("P1", 0.0, 0.5, 67), ("P1", 2.0, 4.0, 69)]
 
 
+def test_chord_path_is_the_likeliest():
+    prior = inference.key_chord_prior()
+    vectors = np.random.default_rng(1).random((5, 12))
+    vectors /= np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+    near = 100 * np.einsum("fp,cp->fc", vectors, inference._chord_tones())
+    plain = inference.viterbi(np.log(prior.reshape(-1) / 12), np.log(inference.transitions(prior).reshape(prior.size, prior.size)), np.tile(near, (1, 12)))
+    assert (inference.key_chord_path(near, 0.01, 0.001, 0.5) == plain).all()
+    triad = np.zeros((3, 12))
+    triad[:, [0, 4, 7]] = 1 / np.sqrt(3)
+    assert {c for _, c in inference.chords_of_frames(triad)} == {"C"}
+
+
 def test_folds():
     assert mining.merge_pair([1, 1, 1, 2], (1, 1), 9) == [9, 1, 2]
     assert mining.repeats([1, 2, 3, 1, 2, 3, 4], 2) == [([1, 2, 3], [0, 3])]
