@@ -61,7 +61,7 @@ ENTRIES: dict[str, tuple[Operator, dict]] = {
     **_all(transforms), **_all(stats), **_all(windows), **_all(joins), **_all(mining), **_all(vectors), **_all(theory), **_all(text), **_all(basics),
     "reverse_pitches": (transforms.reverse_melody, {"full": False}),
     "replace_loud": (transforms.replace_values, {"above": True}),
-    "adjust_times_strict": (transforms.adjust_times, {"function": "floor(t / 20.0)", "least": None}),
+    "adjust_times_strict": (transforms.adjust_times, {"function": "greatest(t, 10.0)", "least": None}),
     "flipped_notes": (transforms.selected_notes, {"channel": 16, "flipped": 1, "transposed": 2}),
     "chords_of_several": (windows.chords, {"single": False, "last": False}),
     "hop_split_outside": (windows.hop_split, {"skip_inside": True}),
