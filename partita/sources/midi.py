@@ -14,7 +14,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -230,9 +232,8 @@ def decoded(files: DataFrame, exclude: Iterable[str] = (), include: Iterable[str
     exclude, include = tuple(exclude), tuple(include)
 
     def run(batches):
-        for batch in batches:
-            for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True):
-                yield from _batches(_rows(path, content.as_py() or b"", exclude, include))
+        files = ((path, content.as_py() or b"") for batch in batches for path, content in zip(batch["path"].to_pylist(), batch["content"], strict=True))
+        yield from _batches(row for path, content in files for row in _rows(path, content, exclude, include))
 
     return files.select("path", "content").mapInArrow(run, EVENTS)
 
@@ -243,18 +244,123 @@ def read_events(spark: SparkSession, path: str, exclude: Iterable[str] = (), inc
     return decoded(files, exclude, include)
 
 
-def encoded(events: DataFrame) -> DataFrame:
-    """(path, content) of events (path, ticks, track, idx, dtime, kind, channel, num, value, data), a file to a task's group."""
-
-    def run(table):
+_CODES = {**STATUS, "set_tempo": 0xFF}  # kinds that whole batches are encoded for at once
+_ENCODED = pa.schema([("path", pa.string()), ("content", pa.binary())])
+_ENCODE_ROWS = 200_000  # events that are encoded at once, unless one file has more
+
+
+def _encode_sorted(table: pa.Table) -> pa.RecordBatch:
+    """Files of events in order of path, track and place.  A file of channel messages and tempos is a run of rows
+    of a byte matrix: its head, and for each track a head, the events and an end; other files go event by event."""
+    table = table.combine_chunks()
+    paths = table["path"].combine_chunks().dictionary_encode() if table["path"].num_chunks != 1 else table["path"].chunk(0).dictionary_encode()
+    codes = paths.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    n = len(codes)
+    new_file = np.r_[True, codes[1:] != codes[:-1]]
+    at = np.flatnonzero(new_file)
+    name = lambda k: None if codes[k] < 0 else paths.dictionary[int(codes[k])].as_py()
+    number = lambda c, none: table[c].fill_null(none).to_numpy().astype(np.int64)
+    kinds = table["kind"].combine_chunks().dictionary_encode() if table["kind"].num_chunks != 1 else table["kind"].chunk(0).dictionary_encode()
+    known = np.array([_CODES.get(k, 0) for k in kinds.dictionary.to_pylist()] + [0])
+    kind = known[kinds.indices.fill_null(len(known) - 1).to_numpy(zero_copy_only=False)]
+    track_null = table["track"].is_null().to_numpy(zero_copy_only=False)
+    bad = (kind == 0) | track_null
+    wanted = {0xFF: ("value",), 0xC0: ("channel", "num"), 0xD0: ("channel", "value"), 0xE0: ("channel", "value")}
+    nulls = {c: table[c].is_null().to_numpy(zero_copy_only=False) for c in ("channel", "num", "value", "dtime", "ticks")}
+    bad |= nulls["dtime"] | nulls["ticks"]
+    for code in set(known.tolist()) - {0}:
+        here = kind == code
+        for c in wanted.get(code, ("channel", "num", "value")):
+            bad |= here & nulls[c]
+        if code in (0xC0, 0xD0):
+            bad |= here & ~nulls["value" if code == 0xC0 else "num"]
+    dtime, track, value, num, channel = np.maximum(number("dtime", 0), 0), number("track", -1), number("value", 0), number("num", 0), number("channel", 0)
+    bad |= (dtime >= 1 << 28) | ((kind == 0xFF) & ((value < 0) | (value >= 1 << 24)))
+    file = np.cumsum(new_file) - 1
+    plain = np.zeros(len(at), dtype=bool)
+    np.logical_or.at(plain, file[bad], True)
+    contents: list = [None] * len(at)
+    stops = np.r_[at[1:], n]
+    for f in np.flatnonzero(plain):
+        part = table.slice(at[f], stops[f] - at[f])
         tracks: dict[int, list] = {}
-        path, ticks = table["path"][0].as_py(), table["ticks"][0].as_py()
-        for r in sorted(table.to_pylist(), key=lambda r: (r["track"] is None, r["track"], r["idx"])):
-            if r["track"] is not None:
-                tracks.setdefault(r["track"], []).append((r["dtime"], r["kind"], r["channel"], r["num"], r["value"], r["data"]))
-        return pa.table({"path": [path], "content": pa.array([encode(ticks, [tracks[k] for k in sorted(tracks)])], pa.binary())})
+        for t, *event in zip(*(part[c].to_pylist() for c in ("track", "dtime", "kind", "channel", "num", "value", "data")), strict=True):
+            if t is not None:
+                tracks.setdefault(t, []).append(tuple(event))
+        contents[f] = encode(part["ticks"][0].as_py(), [tracks[k] for k in sorted(tracks)])
+    if not plain.all():
+        ticks = number("ticks", 0)
+        use = ~plain[file]
+        dtime, track, value, num, channel, kind, file, ticks = (x[use] for x in (dtime, track, value, num, channel, kind, file, ticks))
+        m = len(file)
+        first_file = np.r_[True, file[1:] != file[:-1]]
+        first_track = first_file | np.r_[True, track[1:] != track[:-1]]
+        status = np.where(kind == 0xFF, 0xFF, kind | channel & 15)
+        told = first_track | (status != np.r_[-1, status[:-1]]) | (kind == 0xFF)
+        rows, keep = np.zeros((m, 10), dtype=np.uint8), np.zeros((m, 10), dtype=bool)
+        for k in range(4):  # the delay, seven bits a byte, the highest first
+            rows[:, 3 - k] = (dtime >> 7 * k & 0x7F) | (0x80 if k else 0)
+            keep[:, 3 - k] = True if k == 0 else (dtime >> 7 * k) > 0
+        tempo, bend = kind == 0xFF, kind == 0xE0
+        rows[:, 4], keep[:, 4] = status, told
+        rows[:, 5] = np.where(tempo, 0x51, np.where(bend, value + 8192 & 0x7F, num & 0x7F))
+        keep[:, 5] = kind != 0xD0
+        rows[:, 6] = np.where(tempo, 3, np.where(bend, value + 8192 >> 7 & 0x7F, value & 0x7F))
+        keep[:, 6] = kind != 0xC0
+        for k in range(3):
+            rows[:, 7 + k], keep[:, 7 + k] = value >> 8 * (2 - k) & 0xFF, tempo
+        size = keep.sum(axis=1)
+        begins = np.flatnonzero(first_track)
+        track_size = np.add.reduceat(size, begins) + 4
+        of_track = first_file[begins]
+        head = np.flatnonzero(of_track)
+        n_tracks = np.diff(np.r_[head, len(begins)])
+        file_size = 14 + np.add.reduceat(track_size + 8, head)
+        out = np.zeros(int(file_size.sum()), dtype=np.uint8)
+        file_at = np.cumsum(file_size) - file_size
+        before = np.cumsum(track_size + 8) - (track_size + 8)
+        which = np.cumsum(of_track) - 1
+        track_at = file_at[which] + 14 + before - before[head][which]
+        put = lambda place, bytes_: [out.__setitem__(place + k, b) for k, b in enumerate(bytes_)]
+        put(file_at, [*b"MThd", 0, 0, 0, 6, 0, n_tracks > 1, n_tracks >> 8 & 0xFF, n_tracks & 0xFF, ticks[begins[head]] >> 8 & 0xFF, ticks[begins[head]] & 0xFF])
+        put(track_at, [*b"MTrk", *(track_size >> 8 * (3 - k) & 0xFF for k in range(4))])
+        put(track_at + 8 + track_size - 4, [0, 0xFF, 0x2F, 0])
+        edges = np.zeros(len(out) + 1, dtype=np.int8)
+        np.add.at(edges, track_at + 8, 1)
+        np.add.at(edges, track_at + 4 + track_size, -1)
+        inside = np.cumsum(edges[:-1], dtype=np.int8) > 0
+        out[inside] = rows[keep]
+        blob = out.tobytes()
+        for f, a, b in zip(file[begins[head]].tolist(), file_at.tolist(), (file_at + file_size).tolist(), strict=True):
+            contents[f] = blob[a:b]
+    return pa.RecordBatch.from_arrays([pa.array([name(k) for k in at], pa.string()), pa.array(contents, pa.binary())], schema=_ENCODED)
+
 
-    return events.select("path", "ticks", "track", "idx", "dtime", "kind", "channel", "num", "value", "data").groupBy("path").applyInArrow(run, "path string, content binary")
+def encoded(events: DataFrame) -> DataFrame:
+    """(path, content) of events (path, ticks, track, idx, dtime, kind, channel, num, value, data): rows are dealt and
+    sorted by path, and a task encodes the files of many rows at once."""
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n < _ENCODE_ROWS:
+                continue
+            table = pa.Table.from_batches(held)
+            last = table["path"][-1].as_py()
+            same = pc.is_null(table["path"]) if last is None else pc.fill_null(pc.equal(table["path"], last), False)
+            cut = n - pc.sum(same).as_py()  # rows of one path stand together: the last file may go on
+            if cut:
+                yield _encode_sorted(table.slice(0, cut))
+            held, n = table.slice(cut).to_batches(), n - cut
+        if n:
+            yield _encode_sorted(pa.Table.from_batches(held))
+
+    found = events.select("path", "ticks", "track", "idx", "dtime", "kind", "channel", "num", "value", "data")
+    return found.repartition("path").sortWithinPartitions("path", F.col("track").asc_nulls_last(), "idx").mapInArrow(run, "path string, content binary")
 
 
 def opus_of(notes: DataFrame, ticks: int = 480, tempo: int = 500_000) -> DataFrame:
