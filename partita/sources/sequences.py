@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partita.operators.iterate import checkpointed
 from partita.operators.joins import paired, to_millis
 
 
@@ -23,8 +24,8 @@ def ms_notes(events: DataFrame, default: int = 500_000) -> DataFrame:
 def note_sequences(events: DataFrame) -> DataFrame:
     """One row a file: ticks, notes, tempos, time and key signatures, bends, controls and the end of the last note, times in seconds.
 
-    A corrupt file raises when its row is read, unless corrupt files are filtered before."""
-    good = events.where(F.assert_true(~F.col("corrupt"), F.concat(F.lit("corrupt file "), F.col("path"))).isNull())
+    Events are read many times here, so they are written once first, at which a corrupt file raises unless corrupt files are filtered before."""
+    good = checkpointed(events.where(F.assert_true(~F.col("corrupt"), F.concat(F.lit("corrupt file "), F.col("path"))).isNull()))
     timed = to_millis(good.where(F.col("track").isNotNull())).withColumn("time", F.col("ms") / 1000.0)
     notes = paired(timed.withColumn("tick", F.bround(F.col("ms") * 1000).cast("long")))
     each = notes.select("path", F.struct((F.col("onset") / 1e6).alias("start"), ((F.col("onset") + F.col("dur")) / 1e6).alias("stop"), "pitch", "velocity", F.col("track").alias("instrument"), (F.col("channel") == 9).alias("drum")).alias("n"))
