@@ -259,10 +259,23 @@ def likeliest_scale() -> str:
     return f"select seq_id, scale, share from (select *, row_number() over (partition by seq_id order by share desc, scale) as rk from ({scale_shares.text()}) t) u where rk = 1"
 
 
+def _detect_beat_at_once(periods: tuple) -> str:
+    """The same with one row a sequence: a sum for each period and phase instead of a row for each of them and each note."""
+    cells = [(p, s) for p in periods for s in range(p)]
+    fits = lambda p, s: f"(({mod(f'onset - {s}', p)}) * 4.0 / {p})"
+    sums = ", ".join(f"sum(abs({fits(p, s)} - floor({fits(p, s)} + 0.5))) / nullif(count(onset), 0) as s{k}" for k, (p, s) in enumerate(cells))
+    near = f"array({', '.join(f'case when s{k} <= least_ + 0.00001 then struct(round(s{k}, 6) as stray, {p} as period, {s} as phase) end' for k, (p, s) in enumerate(cells))})"
+    least = f"least({', '.join(f's{k}' for k in range(len(cells)))})" if len(cells) > 1 else "s0"
+    return f"""select seq_id, coalesce(b.period, {periods[0]}) as period, coalesce(b.phase, 0) as phase, b.stray from (select seq_id, array_min(filter({near}, x -> x is not null)) as b from (select *, {least} as least_ from (
+ select seq_id, {sums} from (select /*+ repartition(seq_id) */ seq_id, onset from {{notes}}) n group by seq_id) t) u) v"""
+
+
 @operator
-def detect_beat(periods: tuple = (4, 6, 8, 12, 16)) -> str:
+def detect_beat(d, periods: tuple = (4, 6, 8, 12, 16)) -> str:
     """The grid of period and phase from which onsets stray least, over four steps a period."""
     grid = _rows(*((p, s) for p in periods for s in range(p)))
+    if d.name == "spark":
+        return _detect_beat_at_once(periods)
     off = f"abs(({mod('onset - g.c1', 'g.c0')}) * 4.0 / g.c0 - floor(({mod('onset - g.c1', 'g.c0')}) * 4.0 / g.c0 + 0.5))"
     return f"select seq_id, period, phase, round(stray, 6) as stray from (select seq_id, period, phase, stray, row_number() over (partition by seq_id order by round(stray, 6), period, phase) as rk from (select seq_id, g.c0 as period, g.c1 as phase, avg({off}) as stray from {{notes}} n cross join ({grid}) g group by seq_id, g.c0, g.c1) t) u where rk = 1"
 
