@@ -63,7 +63,8 @@ def alike(a: str, b: str, threshold: float) -> bool:
         return True
     if not a or not b or abs(len(a) - len(b)) / max(len(a), len(b)) > 1 - threshold:
         return False
-    return SequenceMatcher(None, a, b).ratio() >= threshold
+    shared = sum(min(a.count(c), b.count(c)) for c in set(a))  # no fewer than the characters that match in order
+    return 2.0 * shared / (len(a) + len(b)) >= threshold and SequenceMatcher(None, a, b).ratio() >= threshold
 
 
 def same_title(a: str, b: str, threshold: float = 0.85) -> bool:
