@@ -9,10 +9,12 @@ Bands of ``ROWS`` slots give bucket keys.
 Documents with equal shingle sets form a class, represented by its row with the smallest doc_id.
 In each bucket hubs are compared with the members that are not yet connected with them: first by
 one byte of each slot, which leaves out pairs that share under ``LEAST`` slots (six standard
-deviations under those of a pair at 0.75), then on full shingle sets.  A member that is probably
-linked with a hub waits for that comparison; all others outside the bucket's largest component become hubs, so
-every pair of a bucket is compared or connected and none is capped.  A large group of near copies
-collapses in one round.  A bucket of over ``WIDE`` members that stay unlike is split by each other
+deviations under those of a pair at 0.75), then on full shingle sets.  The first round asks for the sets
+of pairs that are probably linked alone, so a large group of near copies collapses in it.  From the second on
+members outside the bucket's largest component become hubs, and each member sends its set as short prints, once to an owner:
+equal prints count at least what two sets share, so a pair whose prints cannot reach the threshold is settled
+where its bucket is, and full sets go to blocks for the few others only.  Every pair of a bucket is compared, excluded by
+its prints or connected, and none is capped; of a family of unlike relatives, whose pairs grow with the square of its size, no sets are sent around.  A bucket of over ``WIDE`` members that stay unlike is split by each other
 band in turn: a pair at 0.75 that shares one band shares another with probability
 1 - (1 - 0.75**3)**31, as sure as the banding itself, which finds it with 1 - (1 - 0.75**3)**32,
 all but 3 in 10**8.
@@ -31,13 +33,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.blocks import GOLDEN, STATE, Docs, ask, bytes_table, checkpointed, forget, fresh, mix, owner_of, owners, pack, rows, state_row, tabled, unique_pairs, unpack
+from partita.llm.blocks import GOLDEN, STATE, Docs, ask, bytes_table, checkpointed, forget, fresh, mix, owner_of, owners, pack, pack_sorted, rows, state_row, tabled, unique_pairs, unpack, unpack_sorted
 from partita.llm.words import Words
 
 SHINGLE, SLOTS, ROWS = 5, 97, 3
 BANDS = SLOTS // ROWS
 LEAST, LIKELY = 47, 72  # shared slots of pairs that are compared at all, and of those that are probably linked
 WIDE, FIRST_HUBS = 1024, 64
+NARROW = 2048  # sets of at most so many shingles send prints of 16 bits, others of 32
 RESULT = "doc_id long, n_shingles long, component_id long, kept boolean"
 _LAST = np.iinfo(np.int64).max
 _FULL = np.iinfo(np.uint64).max
@@ -190,6 +193,7 @@ class _State:
     def __init__(self, data: bytes):
         for name, a in zip(self.KEPT, unpack(data), strict=True):
             setattr(self, name, a)
+        self.values = unpack_sorted(self.values)
         self.cuts = np.concatenate([[0], np.cumsum(self.csize)])
 
     @classmethod
@@ -200,7 +204,7 @@ class _State:
         return s
 
     def packed(self) -> bytes:
-        return pack(*(getattr(self, name) for name in self.KEPT))
+        return pack(*(pack_sorted(self.values) if name == "values" else getattr(self, name) for name in self.KEPT))
 
     def set_of(self, i: int) -> np.ndarray:
         return self.values[self.cuts[i] : self.cuts[i + 1]]
@@ -225,21 +229,63 @@ class _State:
 
 
 def _local_components(place: np.ndarray, at: np.ndarray, hub: np.ndarray) -> np.ndarray:
-    """Component numbers of a bucket's members (by sorted place) from links (member, hub's place), by union-find."""
+    """Component numbers of a bucket's members (by sorted place) from links (member, hub's place): the component's
+    first member.  A hub connects the members that are linked with it, whether it is in the bucket or not."""
     up = np.arange(len(place))
-    where = np.searchsorted(place, hub)
-    inside = (where < len(place)) & (place[np.minimum(where, len(place) - 1)] == hub)
-    for a, b in zip(at[inside].tolist(), where[inside].tolist(), strict=True):
-        while up[a] != a:
-            up[a] = up[up[a]]
-            a = up[a]
-        while up[b] != b:
-            up[b] = up[up[b]]
-            b = up[b]
-        up[max(a, b)] = min(a, b)
-    for a in range(len(up)):
-        up[a] = up[up[a]]
-    return up
+    if not len(at):
+        return up
+    hubs, to = np.unique(hub, return_inverse=True)
+    where = np.minimum(np.searchsorted(place, hubs), len(place) - 1)
+    inside = place[where] == hubs
+    least = np.where(inside, where, len(place))
+    while True:
+        before = up.copy()
+        np.minimum.at(least, to, up[at])
+        np.minimum.at(up, at, least[to])
+        np.minimum.at(up, where[inside], least[inside])
+        up = up[up]
+        least[inside] = np.minimum(least[inside], up[where[inside]])
+        if (up == before).all():
+            return up
+
+
+def _taken(flat: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The pieces of ``flat`` that begin at ``first``, one after the other."""
+    return flat[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+
+
+class _Prints:
+    """The upper bits of members' shingles: 16 of each in sets of at most NARROW, 32 in others."""
+
+    @staticmethod
+    def sent(s: _State, who: np.ndarray) -> list[np.ndarray]:
+        narrow = s.csize[who] <= NARROW
+        short, long = (_taken(s.values, s.cuts[x], s.csize[x]) for x in (who[narrow], who[~narrow]))
+        return [pack_sorted((short >> np.uint64(48)).astype(np.uint16)), pack_sorted((long >> np.uint64(32)).astype(np.uint32))]
+
+    def __init__(self, size: np.ndarray, short: list[np.ndarray], long: list[np.ndarray]):
+        """size: of the members of all messages; short, long: what ``sent`` gave for each message."""
+        self.size, self.narrow = size, size <= NARROW
+        self.flat = np.concatenate([*(unpack_sorted(x).astype(np.uint32) for x in short), *(unpack_sorted(x) for x in long)])
+        self.first = np.zeros(len(size), dtype=np.int64)
+        order = np.concatenate([np.flatnonzero(self.narrow), np.flatnonzero(~self.narrow)])
+        self.first[order] = np.cumsum(size[order]) - size[order]
+        self.marked = np.zeros(1 << 16, dtype=bool)
+
+    def most(self, hub: int, members: np.ndarray) -> np.ndarray:
+        """How many shingles each member shares with the hub at most: those whose prints the hub has."""
+        own = self.flat[self.first[hub] : self.first[hub] + self.size[hub]]
+        size = self.size[members]
+        theirs = _taken(self.flat, self.first[members], size)
+        if self.narrow[hub] or self.narrow[members].any():
+            own = own if self.narrow[hub] else own >> np.uint32(16)
+            theirs = theirs >> np.repeat(np.where(self.narrow[members], 0, 16), size).astype(np.uint32)
+            self.marked[own] = True
+            hit = self.marked[theirs]
+            self.marked[own] = False
+        else:
+            hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        return np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
 
 
 def _hubs(sig: np.ndarray, free: np.ndarray, waits: np.ndarray):
@@ -264,7 +310,7 @@ def _hubs(sig: np.ndarray, free: np.ndarray, waits: np.ndarray):
                 break
 
 
-def _requests(state: DataFrame, n: int, first: bool) -> DataFrame:
+def _requests(state: DataFrame, n: int, percent: int, first: bool) -> DataFrame:
     """Buckets choose hubs; each block learns which of its members to compare with which hubs."""
 
     def send(block, data):
@@ -276,13 +322,14 @@ def _requests(state: DataFrame, n: int, first: bool) -> DataFrame:
             e = order[part]
             who, mine = np.unique(s.owner[e], return_inverse=True)
             lo, hi = np.searchsorted(at, who), np.searchsorted(at, who, side="right")
-            yield k, pack(s.keys[e], e, s.hubbed[e], mine, who, s.place[who], s.cid[who], s.csize[who], s.sig.reshape(-1, SLOTS)[who].reshape(-1), hi - lo, _cat([hub[a:b] for a, b in zip(lo, hi, strict=True)]))
+            yield k, pack(s.keys[e], e, s.hubbed[e], mine, who, s.place[who], s.cid[who], s.csize[who], s.sig.reshape(-1, SLOTS)[who].reshape(-1), hi - lo, _cat([hub[a:b] for a, b in zip(lo, hi, strict=True)]), *([] if first else _Prints.sent(s, who)))
 
     def answer(owner, messages):
         got = [unpack(m) for _, m in messages]
         key, entry, hubbed, mine, who, place, cid, size, sig, width, flat = (np.concatenate([g[j] for g in got]) for j in range(11))
         source, base = np.repeat(np.arange(len(got)), [len(g[0]) for g in got]), np.cumsum([0] + [len(g[4]) for g in got])[:-1]
         mine, sig, ends = mine + base[source], sig.reshape(-1, SLOTS), np.cumsum(width)
+        prints = None if first else _Prints(size, *([g[j] for g in got] for j in (11, 12)))
         order = np.lexsort((place[mine], key))
         edges = np.flatnonzero(np.diff(key[order])) + 1
         opened, pairs = [np.zeros(0, np.int64)], []
@@ -306,11 +353,15 @@ def _requests(state: DataFrame, n: int, first: bool) -> DataFrame:
                         break
                     now[h] = True
                     like = (sig[m] == sig[m[h]]).sum(axis=1)
-                    like[(comp == comp[h]) | (hubbed[group] != 0) | (code == HUB) | (100 * np.minimum(size[m], size[m[h]]) < 75 * np.maximum(size[m], size[m[h]]))] = 0
-                    asks = (like >= LEAST) & ~waits
-                    code[h] = OPEN if (waits & (like >= LEAST)).any() else HUB  # a hub that left out members that wait comes again
+                    like[(comp == comp[h]) | (hubbed[group] != 0) | (code == HUB) | (100 * np.minimum(size[m], size[m[h]]) < percent * np.maximum(size[m], size[m[h]]))] = 0
+                    asks = (like >= (LIKELY if first else LEAST)) & ~waits
+                    code[h] = OPEN if first and ((like >= LEAST) & ~asks).any() else HUB  # a hub that left out members comes again
                     if first:
                         waits |= like >= LIKELY
+                    elif asks.any():
+                        some = np.flatnonzero(asks)
+                        most = prints.most(m[h], m[some])
+                        asks[some[100 * most < percent * (size[m[some]] + size[m[h]] - most)]] = False
                     if asks.any():
                         asks[h] = True  # the hub's own block gives its set
                         pairs.append(m[asks] * len(place) + m[h])
@@ -369,17 +420,17 @@ def _verified(state: DataFrame, n: int, percent: int) -> DataFrame:
             messages.setdefault(k, ([], []))[1].append(i)
         for k, (asks, gives) in sorted(messages.items()):
             sets = [s.set_of(i) for i in gives]
-            yield k, pack(np.array(asks, dtype=np.int64), s.place[np.array(gives, dtype=np.int64)], np.array([len(x) for x in sets], dtype=np.int64), _cat(sets, np.uint64))
+            yield k, pack(np.array(asks, dtype=np.int64), s.place[np.array(gives, dtype=np.int64)], np.array([len(x) for x in sets], dtype=np.int64), pack_sorted(_cat(sets, np.uint64)))
 
     def answer(owner, messages):
         got, known = [unpack(m) for _, m in messages], {}
         for _, hubs, size, values in got:
-            for h, part in zip(hubs.tolist(), np.split(values, np.cumsum(size)[:-1]), strict=False):
+            for h, part in zip(hubs.tolist(), np.split(unpack_sorted(values), np.cumsum(size)[:-1]), strict=False):
                 known[h] = part
         for (block, _), (asks, *_) in zip(messages, got, strict=True):
             if len(asks):
                 sets = [known[h] for h in asks.tolist()]
-                yield block, pack(asks, np.array([len(x) for x in sets], dtype=np.int64), np.concatenate(sets))
+                yield block, pack(asks, np.array([len(x) for x in sets], dtype=np.int64), pack_sorted(np.concatenate(sets)))
 
     def fold(block, data, replies):
         s, known = _State(data), {}
@@ -387,7 +438,7 @@ def _verified(state: DataFrame, n: int, percent: int) -> DataFrame:
             known[int(s.place[i])] = s.set_of(i)
         for reply in replies.values():
             asks, size, values = unpack(reply)
-            for h, part in zip(asks.tolist(), np.split(values, np.cumsum(size)[:-1]), strict=True):
+            for h, part in zip(asks.tolist(), np.split(unpack_sorted(values), np.cumsum(size)[:-1]), strict=True):
                 known[h] = part
         found = []
         for i, h, hub_id in zip(s.asked_at.tolist(), s.asked_hub.tolist(), s.asked_id.tolist(), strict=True):
@@ -507,7 +558,7 @@ def groups(docs: DataFrame, percent: int = 75, n_owners: int | None = None) -> D
     n = n_owners or owners(docs)
     state, first = _classes(docs, n), True
     while True:
-        old, state = state, checkpointed(_requests(state, n, first))
+        old, state = state, checkpointed(_requests(state, n, percent, first))
         forget(old)
         asked, left = _count(state)
         if asked:
