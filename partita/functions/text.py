@@ -7,6 +7,7 @@ import re
 import unicodedata
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,21 +111,153 @@ def with_names(frame: DataFrame, column: str = "path") -> DataFrame:
     return _over(frame, column, "name", "struct<artist:string,title:string>", lambda x: dict(zip(("artist", "title"), split_name(x), strict=True)))
 
 
-def fuzzy_pairs(left: DataFrame, right: DataFrame, threshold: float = 0.85, grams: int = 3) -> DataFrame:
-    """(a, b) of texts (id, clean) that are alike: equal ones by an equi-join; others meet on a shared gram,
-    each pair once, and only if the lengths allow the ratio.  A ratio over 2/3 always leaves a shared run of two characters or more."""
-    keys = F.expr(f"array_distinct(transform(sequence(1, greatest(1, length(clean) - {grams - 1})), i -> substring(clean, i, {grams})))")
-    a = left.select(F.col("id").alias("a"), F.col("clean").alias("x"), F.explode(keys).alias("g"))
-    b = right.select(F.col("id").alias("b"), F.col("clean").alias("y"), F.explode(keys).alias("g"))
-    close = F.abs(F.length("x") - F.length("y")) <= (1 - threshold) * F.greatest(F.length("x"), F.length("y"))
-    pairs = a.join(b, "g").where(close).select("a", "x", "b", "y").distinct()
+# --- texts that are alike: all pairs, without a shared gram, which short texts need not have ---------------
+
+_SYMBOLS = np.full(256, 37, dtype=np.uint8)  # small letters, digits, space; all other characters are one symbol
+_SYMBOLS[[*range(97, 123), *range(48, 58), 32]] = np.arange(37)
+_PAD = 38
+
+
+def _coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, lengths): a row of symbols for each text, filled up with a mark."""
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    codes = np.full((len(texts), int(size.max(initial=0))), _PAD, dtype=np.uint8)
+    for k, t in enumerate(texts):
+        codes[k, : size[k]] = _SYMBOLS[np.frombuffer(t.encode("ascii", "replace"), np.uint8)]
+    return codes, size
+
+
+def _counts(codes: np.ndarray, kind) -> np.ndarray:
+    """(symbols, texts): how often each text holds each symbol."""
+    at = np.arange(len(codes))[:, None] * (_PAD + 1) + codes
+    return np.ascontiguousarray(np.bincount(at.ravel(), minlength=len(codes) * (_PAD + 1)).reshape(len(codes), -1)[:, :_PAD].T.astype(kind))
+
+
+def _subsequences(a: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_size: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of rows a[p] and b[q]: a column of the table is the bits of a few words, and all
+    pairs go along b together (Hyyro)."""
+    words = (a.shape[1] + 63) // 64
+    if len(p) < 16 * words:  # few pairs or long texts
+        return np.array([_subsequence(a[i, : a_size[i]].tobytes(), b[j, : b_size[j]].tobytes()) for i, j in zip(p.tolist(), q.tolist(), strict=True)], dtype=np.int64)
+    masks = np.zeros((len(a), _PAD + 1, words), dtype=np.uint64)
+    for k in range(a.shape[1]):
+        masks[np.arange(len(a)), a[:, k], k // 64] |= np.uint64(1 << k % 64)
+    out = np.zeros(len(p), dtype=np.int64)
+    by, room = np.argsort(-b_size[q], kind="stable"), max(1, (1 << 16) // max(1, words))
+    for at in range(0, len(p), room):
+        some = by[at : at + room]
+        ps, qs = p[some], q[some]
+        alive = np.searchsorted(-b_size[qs], -np.arange(int(b_size[qs[0]])), side="left")
+        bits = np.full((words, len(some)), ~np.uint64(0))
+        for step, m in enumerate(alive.tolist()):
+            found, carry = masks[ps[:m], b[qs[:m], step]], None
+            for w in range(words):
+                was = bits[w, :m]
+                hit = was & found[:, w]
+                now = was + hit
+                over = now < hit
+                if carry is not None:
+                    now += carry
+                    over |= now < carry
+                bits[w, :m], carry = now | (was ^ hit), over.astype(np.uint64)
+        for w in range(words):
+            n = np.clip(a_size[ps] - 64 * w, 0, 64)
+            valid = np.where(n == 64, ~np.uint64(0), (np.uint64(1) << (n % 64).astype(np.uint64)) - np.uint64(1))
+            out[some] += np.bitwise_count(~bits[w] & valid)
+    return out
 
-    def keep(batches):
-        for batch in batches:
-            rows = [r for r in batch.to_pylist() if alike(r["x"], r["y"], threshold)]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([r["a"] for r in rows], pa.int64()), "b": pa.array([r["b"] for r in rows], pa.int64())})
 
-    return pairs.mapInArrow(keep, "a long, b long")
+def _subsequence(a: bytes, b: bytes) -> int:
+    """The same of one pair, a column as one long number."""
+    full = (1 << len(a)) - 1
+    masks = {c: int(a.translate(bytes(48 + (x == c) for x in range(256)))[::-1], 2) for c in set(a)}
+    bits = full
+    for c in b:
+        hit = bits & masks.get(c, 0)
+        bits = (bits + hit) | (bits ^ hit)
+    return (~bits & full).bit_count()
+
+
+def alike_places(left: list[str], right: list[str], threshold: float, same: bool) -> list[tuple[int, int]]:
+    """Places of texts of two lists that are alike in either order; of one list with itself each pair once.
+
+    What is left out cannot reach the threshold: the characters that match in order are a common subsequence, and no
+    more than the characters that both texts hold in any order."""
+    (a, a_size), (b, b_size) = _coded(left), _coded(right)
+    kind = np.uint8 if max(a.shape[1], b.shape[1]) < 256 else np.int32
+    ones, others = _counts(a, kind), _counts(b, kind)
+    out = []
+    for at in range(0, len(left), 256):
+        some = slice(at, at + 256)
+        total = a_size[some, None] + b_size[None, :]
+        shared = np.zeros(total.shape, dtype=kind)
+        for k in range(_PAD):
+            shared += np.minimum(ones[k, some, None], others[k][None, :])
+        p, q = np.nonzero(shared >= np.ceil(threshold * total / 2 - 1e-6))
+        p += at
+        if same:
+            p, q = p[p < q], q[p < q]
+        if len(p):
+            able = 2 * _subsequences(a, a_size, b, b_size, p, q) >= threshold * (a_size[p] + b_size[q]) - 1e-6
+            pairs = zip(p[able].tolist(), q[able].tolist(), strict=True)
+            out += [(i, j) for i, j in pairs if alike(left[i], right[j], threshold) or alike(right[j], left[i], threshold)]
+    return out
+
+
+def _blocks(texts: DataFrame, groups: dict[int, tuple[int, int, int, int]]) -> DataFrame:
+    """(block, low, high, ids, texts): texts of like length, and the range of blocks that they can be alike to."""
+    spark = texts.sparkSession
+    ranges = spark.createDataFrame([(g, *r) for g, r in groups.items()], "g int, first int, parts int, low int, high int")
+    dealt = texts.withColumn("g", _group()).join(F.broadcast(ranges), "g")
+    block = F.col("first") + F.pmod(F.xxhash64("clean"), F.col("parts")).cast("int")
+    rows = F.sort_array(F.collect_list(F.struct("id", "clean")))
+    return dealt.groupBy(block.alias("block")).agg(F.first("low").alias("low"), F.first("high").alias("high"), rows.alias("r")).select("block", "low", "high", F.col("r.id").alias("ids"), F.col("r.clean").alias("texts"))
+
+
+def _group():
+    """Lengths in classes that grow by a twentieth."""
+    return F.floor(F.log(F.greatest(F.length("clean"), F.lit(1))) / math.log(1.05)).cast("int")
+
+
+def _partners(texts: DataFrame, threshold: float, rows: int, letters: int) -> dict[int, tuple[int, int, int, int]]:
+    """Of each class of lengths: its first block, its number of blocks, and the first and last block whose lengths allow the ratio."""
+    size = F.length("clean")
+    found = sorted(texts.groupBy(_group().alias("g")).agg(F.count("*").alias("n"), F.sum(size).alias("chars"), F.min(size).alias("low"), F.max(size).alias("high")).collect())
+    parts = [max(1, -(-r.n // rows), -(-r.chars // letters)) for r in found]
+    first = [sum(parts[:k]) for k in range(len(parts))]
+    out = {}
+    for k, r in enumerate(found):
+        near = [i for i, x in enumerate(found) if min(r.high, x.high) >= threshold * max(r.low, x.low) - 1e-6]
+        out[r.g] = (first[k], parts[k], first[near[0]], first[near[-1]] + parts[near[-1]] - 1)
+    return out
+
+
+def alike_texts(texts: DataFrame, threshold: float = 0.85, rows: int = 2048, letters: int = 1 << 20) -> DataFrame:
+    """(a, b, same) over texts (id, clean), the whole similarity join.  Equal texts are a class, named by its least id:
+    each other member b meets its class a (same), and classes a < b whose texts are alike in either order meet once.
+
+    Blocks of texts of like length meet in a shuffle; each pair of blocks is one tile, in which all pairs are compared."""
+    from partita.operators.iterate import checkpointed
+
+    texts = texts.where("clean is not null and id is not null").select(F.col("id").cast("long").alias("id"), "clean")
+    classes = checkpointed(texts.groupBy("clean").agg(F.min("id").alias("id")))
+    copies = texts.join(classes.select("clean", F.col("id").alias("a")), "clean").where("id <> a").select("a", F.col("id").alias("b"), F.lit(True).alias("same")).distinct()
+    groups = _partners(classes, threshold, rows, letters)
+    blocks = checkpointed(_blocks(classes, groups))
+    tasks = min(1024, 1 + sum(parts * (high - first + 1) for first, parts, _, high in groups.values()) // 2)  # tiles are few bytes and much work, so they aren't joined to larger tasks
+    left = blocks.select(F.col("block").alias("i"), F.explode(F.expr("sequence(block, high)")).alias("j"), F.col("ids").alias("a_ids"), F.col("texts").alias("a_texts"))
+    right = blocks.select(F.explode(F.expr("sequence(low, block)")).alias("i"), F.col("block").alias("j"), F.col("ids").alias("b_ids"), F.col("texts").alias("b_texts"))
+
+    def compare(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                found = alike_places(r["a_texts"], r["b_texts"], threshold, r["i"] == r["j"])
+                pairs = [sorted((r["a_ids"][p], r["b_ids"][q])) for p, q in found]
+                yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([x for _, x in pairs], pa.int64())})
+
+    links = left.repartition(tasks, "i", "j").join(right.repartition(tasks, "i", "j"), ["i", "j"]).mapInArrow(compare, "a long, b long").withColumn("same", F.lit(False))
+    return links.unionByName(copies)
 
 
 # --- pages ----------------------------------------------------------------------------------------------
