@@ -32,6 +32,7 @@ from partita.llm.blocks import rows, short_batches, trimmed
 LENGTH, UNIT, CHUNK, END, ROUNDS = 2048, 16, 16_384, 1, 400
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 WORD_CACHE = 400_000  # pieces of a generation
+TOGETHER = 64  # new pieces that are encoded as one line
 
 
 def best_pattern(prices: np.ndarray, size: int) -> tuple[float, np.ndarray]:
@@ -137,6 +138,7 @@ def layout(lengths: list[int], size: int = LENGTH, unit: int = UNIT) -> list[lis
 # Characters whose words the short way below takes apart just as the vocabulary's own rules do: ASCII
 # white space and print, Latin-1 print and Latin Extended-A without the dotted capital I.
 _PLAIN = re.compile(r"[\t-\r -~\u00a1-\u012f\u0131-\u017f]*")
+_DENSE = re.compile(r"[ -~\u00a1-\u012f\u0131-\u017f]*")  # the same without white space but spaces
 _LETTERS = r"a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f"
 _NUMBERS = r"0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
 _PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r {_LETTERS}{_NUMBERS}]+")
@@ -172,8 +174,18 @@ def encoder(file: str) -> Callable[[str], np.ndarray]:
                 known[p] = older[p]
             else:
                 fresh.append(p)
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
+        for i in range(0, len(fresh), TOGETHER):
+            some = fresh[i : i + TOGETHER]
+            line = " ".join(some)
+            if _DENSE.fullmatch(line) and "<|" not in line:
+                e = tok.encode(line, add_special_tokens=False)
+                sizes = np.bincount(np.array(e.word_ids, dtype=np.int64))
+                if len(sizes) == len(some):  # no piece has less than one word, so each has one
+                    ids, at = array("I", e.ids).tobytes(), 0
+                    for p, n in zip(some, (4 * sizes).tolist(), strict=True):
+                        known[p] = ids[at : at + n]
+                        at += n
+                    continue
             for p, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 known[p] = array("I", e.ids).tobytes()
         return np.frombuffer(b"".join([known[p] for p in pieces]), dtype="<u4")

@@ -50,3 +50,32 @@ def test_query_round_trip(spark, tmp_path):
             assert offset == end
             end += n
         assert end <= 2048
+
+
+def test_new_pieces_are_encoded_as_lines(monkeypatch):
+    """The ids of the plain tokenizer, and plain pieces are not given to it one by one."""
+    import tokenizers
+
+    alone = []
+
+    class Counted:
+        def __init__(self, tok):
+            self.encode, self.batch = tok.encode, tok.encode_batch_fast
+
+        @staticmethod
+        def from_file(file):
+            return Counted(Tokenizer.from_file(file))
+
+        def encode_batch_fast(self, some, **more):
+            alone.extend(some)
+            return self.batch(some, **more)
+
+    file, draw = public_tokenizers.path("word_bpe_49k.json"), random.Random(2)
+    tok = Tokenizer.from_file(file)
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    encode = packing.encoder.__wrapped__(file)
+    plain = " ".join("".join(draw.choice("abcdefgéÀ1?") for _ in range(draw.randint(1, 12))) for _ in range(3000))
+    assert encode(plain).tolist() == tok.encode(plain, add_special_tokens=False).ids and not alone
+    odd = ["<|endoftext|>a < |b <| endoftext|>", "a\tb \t ½ don't İx 'S", "́ é  x \x1c \x85 漢字 don't! a\tb \t c", "x" * 3000 + " y​z ﬁ", "İ a\tb \t"]
+    for text in odd + ["".join(draw.choice("ab \t\n'séİ<|>½²漢 ­ſ") for _ in range(400)) for _ in range(50)]:
+        assert encode(text).tolist() == tok.encode(text, add_special_tokens=False).ids
